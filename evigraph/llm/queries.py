@@ -5,21 +5,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitplane, quality_rules, vocab
+from . import bitplane, html_extract, packing, quality_rules, secret_scan, vocab
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Params(vocab.default_path("byte_bpe_50k.json")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"
     )
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.token_table(table(spark, sf_dir, "documents"), vocab.default_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_quality_rules, op10_bit_plane_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_packing, op7_quality_rules, op8_secret_scan, op9_html_extraction, op10_bit_plane_ids)}
 ORACLES: dict[str, str] = {}
