@@ -5,16 +5,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitplane, html_extract, packing, quality_rules, secret_scan, vocab
+from . import bitplane, decontaminate, html_extract, packing, pii, quality_rules, secret_scan, url_filters, vocab
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.Params(vocab.default_path("byte_bpe_50k.json")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"
@@ -33,5 +45,8 @@ def op10_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.token_table(table(spark, sf_dir, "documents"), vocab.default_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_packing, op7_quality_rules, op8_secret_scan, op9_html_extraction, op10_bit_plane_ids)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filters, op3_packing, op4_decontamination, op6_pii, op7_quality_rules, op8_secret_scan, op9_html_extraction, op10_bit_plane_ids)}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": url_filters.verdict_sql(url_filters.standard_rules()),
+    "op4_decontamination": decontaminate.contamination_sql(),
+}
