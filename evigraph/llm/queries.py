@@ -5,12 +5,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitplane, decontaminate, html_extract, packing, pii, quality_rules, secret_scan, url_filters, vocab
+from . import bitplane, decontaminate, html_extract, ngram_join, packing, pii, quality_rules, secret_scan, url_filters, vocab
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -45,7 +49,7 @@ def op10_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.token_table(table(spark, sf_dir, "documents"), vocab.default_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filters, op3_packing, op4_decontamination, op6_pii, op7_quality_rules, op8_secret_scan, op9_html_extraction, op10_bit_plane_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_packing, op4_decontamination, op6_pii, op7_quality_rules, op8_secret_scan, op9_html_extraction, op10_bit_plane_ids)}
 ORACLES: dict[str, str] = {
     "op2_url_filters": url_filters.verdict_sql(url_filters.standard_rules()),
     "op4_decontamination": decontaminate.contamination_sql(),
