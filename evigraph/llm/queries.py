@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, decontaminate, html_extract, ngram_join, packing, pii, quality_rules, secret_scan, url_filters, vocab
+from . import bitplane, decontaminate, html_extract, lm_scoring, ngram_join, packing, pii, quality_rules, secret_scan, url_filters, vocab
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(docs))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.token_table(table(spark, sf_dir, "documents"), vocab.default_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_packing, op4_decontamination, op6_pii, op7_quality_rules, op8_secret_scan, op9_html_extraction, op10_bit_plane_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_packing, op4_decontamination, op5_lm_scoring, op6_pii, op7_quality_rules, op8_secret_scan, op9_html_extraction, op10_bit_plane_ids)}
 ORACLES: dict[str, str] = {
     "op2_url_filters": url_filters.verdict_sql(url_filters.standard_rules()),
     "op4_decontamination": decontaminate.contamination_sql(),
