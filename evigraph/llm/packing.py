@@ -171,12 +171,12 @@ def pack(docs: DataFrame, params: Params, keep_ids: bool = False) -> DataFrame:
     counts = table.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.size("full_crcs")).cast("long").alias("n_full")).persist()
     histogram = {r["rest"]: r["n"] for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     placed = plan(histogram, params)
-    # totals of the tasks before: one row a task and length, never one a document
+    # totals of the tasks before: one row a task and length, never one a document; they grow with the tasks, so no broadcast
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     tasks = counts.groupBy("part").agg(F.sum("n_full").alias("n_full"))
     tasks = tasks.select("part", F.coalesce(F.sum("n_full").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("full_before"))
     shift = counts.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("rank_before")).join(tasks, "part")
-    joined = table.join(shift, ["part", "rest"]).select(
+    joined = table.join(shift.hint("merge"), ["part", "rest"]).select(
         "doc_id", "doc_tokens", "rest", (F.col("rank") + F.col("rank_before")).alias("rank"), (F.col("full_rank") + F.col("full_before")).alias("full_rank"), "full_crcs", "ids"
     )
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(k, T.LongType()) for k in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))]
