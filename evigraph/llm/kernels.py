@@ -102,7 +102,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     up, down = _POWERS.get(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
+    terms = _TABLE[data]
+    terms *= up[: len(data)]
+    np.cumsum(terms, out=total[1:])
+    del terms
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
