@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
-from . import graph
+from . import graph, search, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (graph,):
+for _module in (graph, text, search):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
