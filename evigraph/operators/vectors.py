@@ -77,7 +77,7 @@ def _nearest_joined(queries: DataFrame, points: DataFrame, k: int, least: float,
     """The same for any number of queries: blocks of queries meet blocks of points by a join on the block pair."""
     blocks = 64
     left = queries.select(c("vec_id").alias("query_id"), c("embedding").alias("q"), *([c(same).alias("key")] if same else [F.lit("").alias("key")])).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    right = points.select("vec_id", "embedding", *([c(same).alias("key")] if same else [F.lit("").alias("key")])).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    right = points.select("vec_id", "embedding", *([c(same).alias("key")] if same else [F.lit("").alias("key")])).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     scored = left.join(right, ["key", "qb"]).where("query_id <> vec_id").withColumn("score", F.round(cosine("q", "embedding"), decimals)).where(c("score") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank_", rank).where(c("rank_") <= k).select("query_id", "vec_id", "score")
