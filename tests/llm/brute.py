@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -18,9 +19,9 @@ def rules(text: str | None) -> dict:
             dup += line in seen
             seen.add(line)
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    hit = set()
+    hit, times = set(), Counter(grams)
     for i, g in enumerate(grams):
-        if grams.count(g) > 1:
+        if times[g] > 1:
             hit |= {i, i + 1, i + 2}
     return {
         "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": dup,
