@@ -10,8 +10,8 @@ words). Two texts link when their sets' Jaccard similarity reaches the threshold
 3. Linked sets share a shingle in their prefixes (the first quarter of the
    order). Prefix shingles are dealt out by range of hash; the ones that two or
    more sets hold form buckets.
-4. Each bucket's sets are checked against its first one (a star), and the links
-   found give first components. What is left to check are the pairs of a bucket
+4. Sets that share much of their prefix with a bucket's first set (a star) are
+   checked against it, and the links found give first components. What is left to check are the pairs of a bucket
    that lie in different components, however large a bucket is.
 5. In small buckets such pairs are listed, their shared prefix shingles counted
    bucket by bucket and summed per pair, and pairs that can no longer reach the
@@ -64,6 +64,9 @@ class Params:
     def prefix(self, size):
         return size - -(-self.over * size // self.under) + 1
 
+    def prefix_column(self, size):
+        return size - F.ceil(self.over * size / self.under) + 1
+
     def needed(self, total):
         """Least overlap of linked sets whose sizes add up to total."""
         return -(-self.over * total // (self.over + self.under))
@@ -171,12 +174,10 @@ def _exploded(sets: DataFrame) -> DataFrame:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 raw = part.column("prefix").to_pylist()
-                n = np.array([len(x) // 8 for x in raw])
-                token = np.frombuffer(b"".join(raw), np.int64)
-                at = np.repeat(np.arange(part.num_rows), n)
-                yield pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(part.column(c).to_numpy()[at]) for c in ("id", "size", "ends"))], ["token", "id", "size", "ends"])
+                at = np.repeat(np.arange(part.num_rows), [len(x) // 8 for x in raw])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(part.column("id").to_numpy()[at])], ["token", "id"])
 
-    return sets.select("id", "size", "ends", "prefix").mapInArrow(run, "token long, id long, size int, ends long")
+    return sets.select("id", "prefix").mapInArrow(run, "token long, id long")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
@@ -186,7 +187,7 @@ def buckets(sets: DataFrame) -> DataFrame:
         held = None  # first row of a run whose second has not come yet
         token = hub = None  # of the run under way
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
+            cols = [batch.column(i).to_numpy() for i in range(2)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             held = None
@@ -211,10 +212,10 @@ def buckets(sets: DataFrame) -> DataFrame:
                 token, hub = t[-1], hubs[-1]
             rows = np.flatnonzero(keep[run_of])
             if len(rows):
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in cols), pa.array(hubs[run_of[rows]])], ["token", "id", "size", "ends", "hub"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in cols), pa.array(hubs[run_of[rows]])], ["token", "id", "hub"])
 
     dealt = _exploded(sets).repartition("token").sortWithinPartitions("token", "id")
-    return dealt.mapInArrow(run, "token long, id long, size int, ends long, hub long")
+    return dealt.mapInArrow(run, "token long, id long, hub long")
 
 
 def _id_filter(ids: DataFrame, params: Params) -> np.ndarray:
@@ -228,7 +229,10 @@ def _id_filter(ids: DataFrame, params: Params) -> np.ndarray:
 
 
 def segments(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
-    """The whole sets of the given ids, cut into fragments of the order of hashes: id, print, size, fragment, tokens."""
+    """The whole sets of the given ids (a few others may be among them), cut into fragments of the order of hashes.
+
+    Texts of other ids are passed over before they are read into shingles.
+    """
     schema = "id long, print binary, size int, fragment int, tokens binary"
     shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids, params))
     n = params.fragments
@@ -249,15 +253,19 @@ def segments(docs: DataFrame, ids: DataFrame, params: Params) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["id", "print", "size", "fragment", "tokens"])
 
     bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << params.filter_bits)).cast("int").alias("bit")
-    found = _texts(docs, bit).where("id is not null").mapInArrow(run, schema)
-    return found.join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "print", "fragment"])
+    return _texts(docs, bit).where("id is not null").mapInArrow(run, schema)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, params: Params) -> DataFrame:
     """Of the pairs (a, b) those that link: partial overlaps by fragment, summed per pair."""
+    sets = written(segments(docs, _ends(pairs), params), "ngram-sets")
     side = lambda c: sets.select(F.col("id").alias(c), "fragment", *(F.col(x).alias(f"{x}_{c}") for x in ("print", "size", "tokens")))
-    both = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"]).select("a", "b", "print_a", "print_b", "size_a", "size_b", "tokens_a", "tokens_b")
-    names = ["a", "b", "print_a", "print_b", "size_a", "size_b"]
+    both = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"])
+    names = ["a", "b", "print_a", "print_b", "size_a", "size_b", "fragment"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,8 +275,11 @@ def verified(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shared, pa.int32())], [*names, "shared"])
 
-    partial = both.mapInArrow(run, "a long, b long, print_a binary, print_b binary, size_a int, size_b int, shared int")
-    summed = partial.groupBy(*names).agg(F.sum("shared").alias("shared"))
+    schema = "a long, b long, print_a binary, print_b binary, size_a int, size_b int, fragment int, shared int"
+    partial = both.select(*names, "tokens_a", "tokens_b").mapInArrow(run, schema)
+    # repeated rows of a document give a fragment more than once
+    once = partial.groupBy(*names).agg(F.max("shared").alias("shared"))
+    summed = once.groupBy(*names[:-1]).agg(F.sum("shared").alias("shared"))
     links = summed.where((params.over + params.under) * F.col("shared") >= params.over * (F.col("size_a").cast("long") + F.col("size_b")))
     return links.select("a", "b").distinct()
 
@@ -284,7 +295,7 @@ def _listed(members: DataFrame, params: Params) -> DataFrame:
     summed = pairs.groupBy("id_a", "id_b", "size_a", "size_b", "ends_a", "ends_b").agg(F.count("*").alias("shared"))
     # beyond the end of the prefix that ends first, at most the rest of that set is shared
     first = F.when(F.col("ends_a") < F.col("ends_b"), F.col("size_a")).when(F.col("ends_a") > F.col("ends_b"), F.col("size_b")).otherwise(F.greatest("size_a", "size_b"))
-    prefix = first - F.ceil(params.over * first / params.under) + 1
+    prefix = params.prefix_column(first)
     total = params.over + params.under
     return summed.where(total * (F.col("shared") + first - prefix) >= params.over * (F.col("size_a") + F.col("size_b"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
@@ -329,21 +340,22 @@ def compare_blocks(a: tuple, b: tuple, params: Params, same: bool) -> Iterator[t
                     yield i, int(ib[j])
 
 
-def _blocked(members: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
+def _blocked(docs: DataFrame, members: DataFrame, params: Params) -> DataFrame:
     """Pairs of large buckets in different components that bitmaps cannot rule out."""
     # buckets that share a set are merged, so that a group of copies is compared once and not in every bucket
     hubs = members.groupBy("id").agg(F.min("token").alias("b"))
     edges = members.join(hubs, "id").select(F.col("token").alias("a"), "b").distinct()
     merged = components(edges)
-    own = members.select("id", "size", "component", "token").join(merged, F.col("token") == F.col("node"), "left")
-    own = own.select("id", "size", members["component"].alias("part_of"), F.coalesce(merged["component"], F.col("token")).alias("group")).distinct()
+    merged = merged.withColumnRenamed("component", "merged")
+    own = members.join(merged, F.col("token") == F.col("node"), "left")
+    own = own.select("id", "size", F.col("component").alias("part_of"), F.coalesce("merged", "token").alias("group")).distinct()
     # sizes of linked sets differ by at most one class
     step = math.log(params.under / params.over)
     level = F.floor(F.log(F.col("size")) / step).cast("int")
     cells = own.withColumn("class", F.explode(F.array(level, level + 1)))
     blocks = cells.groupBy("group", "class").agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"))
     cells = cells.join(blocks, ["group", "class"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    maps = _bitmaps(sets)
+    maps = _bitmaps(segments(docs, members, params))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(maps, "id")
     cells = cells.select("group", "class", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "size", "part_of", "bits")
 
@@ -368,7 +380,8 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
     """A bitmap of each whole set."""
 
     def run(table: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
+        parts = dict(zip(table.column("fragment").to_pylist(), table.column("tokens").to_pylist()))
+        tokens = np.frombuffer(b"".join(parts.values()), np.uint64)
         return pa.table({"id": table.column("id")[:1], "bits": pa.array([bitmap(tokens).tobytes()], pa.binary())})
 
     return sets.groupBy("id", "print").applyInArrow(run, "id long, bits binary")
@@ -380,19 +393,20 @@ def clusters(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, Dat
     full = rows.where("size > 0 and id is not null")
     sets = full.groupBy("print").agg(F.min(F.struct("id", "size", "ends", "prefix")).alias("s")).select("print", "s.*")
     found = written(buckets(sets), "ngram-buckets")
-    whole = written(segments(docs, found, params), "ngram-sets")
-    star = found.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    places = full.select("id", "size", "ends").distinct()
+    # a first guess only, so few are tried: sets that share a third of their prefix with one hub
+    near = found.where("id <> hub").groupBy("hub", "id").agg(F.count("*").alias("n")).join(places, "id").where(3 * F.col("n") >= params.prefix_column(F.col("size")))
+    star = written(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "ngram-star")
     # rows of one doc_id are one node
     leaders = full.groupBy("print").agg(F.min("id").alias("leader"))
-    same = full.join(leaders, "print").groupBy("id").agg(F.min("leader").alias("a"), F.max("leader").alias("b"))
-    same = same.where("a <> b").select("a", "b")
-    links = written(verified(star, whole, params).unionByName(same), "ngram-links")
-    first = components(links)
-    labelled = found.join(first, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node", "hub")
+    same = full.select("print", "id").join(leaders, "print").groupBy("id").agg(F.min("leader").alias("a"), F.max("leader").alias("b")).where("a <> b").select("a", "b")
+    links = written(verified(docs, star, params).unionByName(same), "ngram-links")
+    first = written(components(links), "ngram-first")
+    labelled = found.join(first, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("component", "id").alias("component"))
     open_ = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high")
-    left = written(labelled.join(open_.select("token", "members"), "token"), "ngram-open")
-    pairs = _listed(left.where(F.col("members") <= params.large), params).unionByName(_blocked(left.where(F.col("members") > params.large), whole, params)).distinct()
-    more = written(verified(written(pairs, "ngram-pairs"), whole, params), "ngram-more")
+    left = written(labelled.join(open_.select("token", "members"), "token").join(places, "id"), "ngram-open")
+    pairs = _listed(left.where(F.col("members") <= params.large), params).unionByName(_blocked(docs, left.where(F.col("members") > params.large), params)).distinct()
+    more = written(verified(docs, written(pairs, "ngram-pairs"), params), "ngram-more")
     last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = leaders.join(last, F.col("leader") == F.col("node"), "left").select("print", F.coalesce("component", "leader").alias("component"))
     return rows.select("id", "size", "print"), named
