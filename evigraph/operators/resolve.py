@@ -4,34 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import entity_name, plain
-from ..runtime import written
+from .components import components as connected
 from .vectors import nearest
 
 c = F.col
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of the edges (a, b): the least node that each reaches.
-
-    Every round joins nodes to the least label around them and then to that
-    label's own label; rounds are written to the shared folder, so the plan
-    stays small and a lost executor costs one round.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(c("b").alias("a"), c("a").alias("b"))).where("a <> b").distinct()
-    both = written(both, "er-edges")
-    labels = written(both.groupBy(c("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "er-labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(c("node").alias("b"), c("component").alias("l")), "b").groupBy(c("a").alias("node")).agg(F.min("l").alias("l"))
-        lower = labels.join(near, "node").select("node", "component", F.least("component", "l").alias("l"))
-        jump = labels.select(c("node").alias("l"), c("component").alias("far"))
-        new = written(lower.join(jump, "l").select("node", F.least("l", "far").alias("next"), "component"), "er-labels")
-        changed = new.where("next <> component").isEmpty()
-        labels = new.select("node", c("next").alias("component"))
-        if changed:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
 def exact_merges(entities: DataFrame, kind: str = "entity_type", name: str = "name", key: str = "entity_id") -> DataFrame:
     """(dupe, keeper) of entities of one type whose normalised names agree; the shortest name is kept."""
     norm = entities.withColumn("norm_", entity_name(name)).where("norm_ <> ''")

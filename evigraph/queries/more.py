@@ -53,9 +53,9 @@ def flt05_inequality(g):
     return g.cites.where("citing <> cited and confidence <> 0.5").select("citing", "cited")
 
 
-@query("SELECT vec_id FROM vec WHERE doc_kind = 'claim' AND entity_type = 'TASK' AND paper_id = 13")
+@query("SELECT vec_id FROM vec WHERE doc_kind = 'claim' AND entity_type = 'DATASET'")
 def flt08_payload_conjunction(g):
-    conditions = {"doc_kind": "claim", "entity_type": "TASK", "paper_id": 13}
+    conditions = {"doc_kind": "claim", "entity_type": "DATASET"}
     out = g.vec
     for name, value in conditions.items():
         out = out.where(c(name) == value)
