@@ -42,16 +42,21 @@ class Params:
         return self.n - self.gram + 1
 
 
-def normal(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased, joined by single spaces."""
-    spaced = F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), NO_WORD, " "))
+def with_normal(df: DataFrame, text: str = "text", out: str = "normal_") -> DataFrame:
+    """df with the words of a text, A-Z lower-cased, joined by single spaces.
+
+    The steps are columns of their own, so that each is computed once a row.
+    """
+    spaced = F.trim(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), NO_WORD, " "))
     # full lower-casing equals A-Z lower-casing where nothing but ASCII letters can change
-    return F.when(F.length(spaced) == F.octet_length(spaced), F.lower(spaced)).otherwise(F.translate(spaced, UPPER, LOWERED))
+    low = F.when(F.length("spaced_") == F.octet_length("spaced_"), F.lower("spaced_")).otherwise(F.translate("spaced_", UPPER, LOWERED))
+    return df.withColumn("spaced_", spaced).withColumn(out, low).drop("spaced_")
 
 
-def words(text: Column) -> Column:
-    joined = normal(text)
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+def with_words(df: DataFrame, text: str = "text", out: str = "w") -> DataFrame:
+    """df with the array of the words of a text."""
+    words = F.when(F.col("normal_") == "", F.array().cast("array<string>")).otherwise(F.split("normal_", " "))
+    return with_normal(df, text).withColumn(out, words).drop("normal_")
 
 
 def _around(w: Column, p: Column, params: Params) -> tuple[Column, Column]:
@@ -74,10 +79,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
     """Verified occurrences: doc_id, text_key, start and end (in words, end exclusive), item_id."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
+    items = with_words(benchmark.select("item_id", "text")).select("item_id", "w").where("size(w) > 0")
     sizes = items.agg(F.sum(F.size("w")).alias("n"), F.collect_set(F.when(F.size("w") < params.n, F.size("w"))).alias("short")).first()
     fits = (sizes["n"] or 0) <= BROADCAST_WORDS
-    texts = _keyed(docs).select("doc_id", "text_key", words(F.col("text")).alias("w"))
+    texts = with_words(_keyed(docs)).select("doc_id", "text_key", "w")
 
     def joined(grams: DataFrame, known: DataFrame) -> DataFrame:
         return grams.join(F.broadcast(known) if fits else known, "h")
@@ -88,8 +93,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> Da
     last = F.size("w") - params.gram
     known = items.where(F.size("w") >= params.n).select("item_id", "w", F.posexplode(F.transform(F.sequence(F.lit(0), last), gram)).alias("at", "h"))
     known = known.select("h", "item_id", left.alias("item_left"), right.alias("item_right")).distinct()
-    steps = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(params.stride)), gram)
-    grams = texts.where(F.size("w") >= params.n).select("doc_id", "text_key", "w", F.posexplode(steps).alias("k", "h"))
+    # an outer explode, as the filter that an inner one implies would compute the words once more
+    steps = F.when(F.size("w") >= params.n, F.transform(F.sequence(F.lit(0), last, F.lit(params.stride)), gram))
+    grams = texts.select("doc_id", "text_key", "w", F.posexplode_outer(steps).alias("k", "h"))
     grams = grams.select("doc_id", "text_key", "h", "w", (F.col("k") * params.stride).alias("at"))
     if not fits:  # no whole texts through a shuffle
         grams = grams.select("doc_id", "text_key", "h", "at", left.alias("left"), right.alias("right"))
@@ -99,8 +105,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> Da
     found = found.select("doc_id", "text_key", (at - F.col("back")).alias("start"), (at + F.col("on")).alias("end"), "item_id")
     for size in sorted(sizes["short"]):  # at most n - 1 lengths
         whole = items.where(F.size("w") == size).select(F.xxhash64("w").alias("h"), "item_id", F.col("w").alias("item_w"))
-        each = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda p: F.xxhash64(F.slice(F.col("w"), p + 1, size)))
-        windows = texts.where(F.size("w") >= size).select("doc_id", "text_key", "w", F.posexplode(each).alias("at", "h"))
+        each = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda p: F.xxhash64(F.slice(F.col("w"), p + 1, size))))
+        windows = texts.select("doc_id", "text_key", "w", F.posexplode_outer(each).alias("at", "h"))
         own = F.slice(F.col("w"), at + 1, size)
         if not fits:
             windows, own = windows.select("doc_id", "text_key", "h", "at", own.alias("own")), F.col("own")
@@ -135,8 +141,8 @@ def _joined(left: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    joined_words = normal(F.col("text"))
-    n_words = F.when(joined_words == "", 0).otherwise(F.length(joined_words) - F.length(F.replace(joined_words, F.lit(" "), F.lit(""))) + 1)
+    # counting needs no lower-casing
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
     base = _keyed(docs).select("doc_id", "text_key", n_words.cast("long").alias("n_words"))
     n_hit = F.coalesce(_union_size(F.col("spans_")), F.lit(0).cast("long"))
     items = F.coalesce(F.array_sort("items_"), F.array().cast("array<string>"))
