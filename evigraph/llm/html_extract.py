@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .runtime import texts
+
 #: Element groups of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -33,10 +35,15 @@ INLINE = frozenset(
 ASIDE = frozenset("nav footer aside form script style noscript template iframe svg canvas button select textarea object embed dialog menu head input audio video map".split())
 #: Words of class, id or role values that mark parts outside the article.
 ASIDE_WORDS = frozenset(
-    """ad ads advert advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright
-    disqus dropdown footer gdpr menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted
-    promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget masthead topbar""".split()
+    """ad ads advert advertisement advertising adbox alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo
+    cookie cookies copyright dialog disqus dropdown footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notification
+    overlay pager pagination popup promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored
+    subscribe toolbar topbar widget""".split()
 )
+#: The words that count on an article element itself, as each comment or teaser may be one.
+ARTICLE_ASIDE_WORDS = frozenset("comment comments reply replies respond related promo promoted sponsored teaser ad advert".split())
+#: Words that make a class a statement about the page, as in "has-sidebar" or "comments-open".
+ABOUT_FIRST, ABOUT_LAST = frozenset("has with no without not is".split()), frozenset("open closed enabled disabled active on off".split())
 P_CLOSERS = frozenset(
     """address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
     hgroup hr main menu nav ol p pre section table ul""".split()
@@ -49,7 +56,7 @@ CLOSES = {
 }
 SCOPE = frozenset("table td th caption html button object template".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
 _MARK = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -71,14 +78,24 @@ class _Dom:
         return len(self.name) - 1
 
 
+def _marks(attributes: str) -> Iterator[str]:
+    """The words of class, id and role values, without classes that only tell of the page."""
+    for m in _MARK.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            own = _WORD.findall(name)
+            if own and not (len(own) > 1 and (own[0] in ABOUT_FIRST or own[-1] in ABOUT_LAST)):
+                yield from own
+
+
 def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
     if name in ASIDE or name == "header" and not in_article:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body"):
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(w in ASIDE_WORDS for m in _MARK.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+    words = ARTICLE_ASIDE_WORDS if name in ("article", "main") else ASIDE_WORDS
+    return any(w in words or w == "header" and not in_article and name not in ("article", "main") for w in _marks(attributes))
 
 
 def parse(page: str) -> _Dom:
@@ -126,14 +143,14 @@ def parse(page: str) -> _Dom:
                 pop_to(k)
             elif name == "p":
                 dom.add("p", stack[-1], dom.aside[stack[-1]])
-        elif m[2]:
-            name = m[2].lower()
+        elif m[2] or m[4]:  # the second form: a quote that is never closed
+            name, attributes = (m[2] or m[4]).lower(), m[3] if m[2] else m[5]
             if name in P_CLOSERS:
                 close(("p",), SCOPE)
             if name in CLOSES:
                 close(*CLOSES[name])
             here = stack[-1]
-            aside = dom.aside[here] or _is_aside(name, m[3], bool(open_count.get("article") or open_count.get("main")))
+            aside = dom.aside[here] or _is_aside(name, attributes, bool(open_count.get("article") or open_count.get("main")))
             if name == "body" and open_count.get("body") or name == "html" and open_count.get("html"):
                 continue
             if name == "body" and open_count.get("head"):
@@ -143,7 +160,7 @@ def parse(page: str) -> _Dom:
                 pop_to(k)
                 aside, here = False, stack[-1]
             node = dom.add(name, here, aside)
-            if name in VOID or m[3].endswith("/") and name not in RAW and name in ("svg", "path"):
+            if name in VOID or attributes.endswith("/") and name not in RAW and name in ("svg", "path"):
                 if name in ("br", "hr"):
                     runs.append((node, " "))
             elif name in RAW:
@@ -277,4 +294,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts = [extract(x.as_py()) for x in part.column("html")]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(run, schema)
+    return texts(pages).select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(run, schema)

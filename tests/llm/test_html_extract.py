@@ -28,7 +28,8 @@ def test_without_article_element():
     [
         (None, ""), ("", ""), (" \n ", ""), ("plain words", "plain words"), ("<p>a<div>b</div>c", "a\n\nb\n\nc"), ("a < b &amp; c <b>x", "a < b & c x"), ("<script>x", ""),
         ("<p>x</p>tail<p>y</p>", "x\n\ntail\n\ny"), ("<div>" * 20_000 + "deep", "deep"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"), ("</p></div>x", "x"),
-        ("<ul><li>a<li>b <ul><li>c</ul> d</ul>", "a\n\nb\n\nc\n\nd"), ("<p>a&nbsp;&#x41;&eacute;</p>", "a Aé"), ("<p>İİ<script>1</script>z</p>", "İİz"),
+        ("<ul><li>a<li>b <ul><li>c</ul> d</ul>", "a\n\nb\n\nc\n\nd"), ('<div class="content has-sidebar comments-open"><p>x</p></div><div class=sidebar>s</div>', "x"),
+        ('<div id="site-header">Site</div><article><header><h1>T</h1></header><p>x</p><article class="comment">c</article></article>', "T\n\nx"), ('<p title="x>one</p><p>two</p>', "one\n\ntwo"), ("<p>a&nbsp;&#x41;&eacute;</p>", "a Aé"), ("<p>İİ<script>1</script>z</p>", "İİz"),
     ],
 )
 def test_odd_pages(page, text):
