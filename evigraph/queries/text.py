@@ -126,7 +126,7 @@ def str16_sentences(t):
     return t["documents"].select("doc_id", F.size(X.sentences("text")).alias("n_sentences"))
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, l_linenumber AS first, CAST(trunc(l_quantity) AS INTEGER) AS last FROM lineitem")
 def str19_line_ranges(t):
     first, last = X.line_range(F.concat(F.lit("line "), c("l_linenumber").cast("string"), F.lit("-"), c("l_quantity").cast("int").cast("string")))
     return t["lineitem"].select("l_orderkey", "l_linenumber", first.alias("first"), last.alias("last"))
