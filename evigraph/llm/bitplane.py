@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import vocab
-from .runtime import fresh_path, written
+from .runtime import fresh_path, texts, written
 
 MAGIC, TAIL = b"EVBP0001", b"EVBPEND1"
 BLOCK = 1 << 16
@@ -171,7 +171,7 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int, block: int =
                 {"part": pa.array([task.partitionId()], pa.int32()), "file": [name.removeprefix(base + "/")], "size": [size], "n_docs": [len(writer.docs)], "n_ids": [n_ids]}
             )
 
-    ranged = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ranged = texts(docs).select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return written(ranged.mapInArrow(run, schema), "shard-index")
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import vocab
-from .runtime import written
+from .runtime import texts, written
 
 
 @dataclass(frozen=True)
@@ -162,7 +162,7 @@ def _measured(docs: DataFrame, params: Params, keep_ids: bool) -> DataFrame:
             if out:
                 yield flush()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return texts(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, params: Params, keep_ids: bool = False) -> DataFrame:

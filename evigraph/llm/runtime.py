@@ -1,42 +1,22 @@
-"""Session helpers shared by the training-data operators."""
+"""Session helpers of the training-data operators, beside the library's own."""
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from ..runtime import fresh_path, shared_dir, written
 
+__all__ = ["fresh_path", "shared_dir", "table", "texts", "written"]
+BATCH_BYTES = 1 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Read from ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a folder of this process is made and remembered in the session.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.evigraph.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="evigraph-shared-")
-        spark.conf.set("spark.evigraph.shared.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+def texts(df: DataFrame) -> DataFrame:
+    """df for a pass over Arrow batches of whole texts, with the session's batches bounded by bytes.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read it back.
-
-    The copy survives the loss of any executor, unlike cached or locally
-    checkpointed blocks.
+    The default batch of 10,000 rows of text costs each task several times its
+    size in buffers outside the heap; rows of numbers still come by thousands.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

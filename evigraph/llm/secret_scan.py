@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .kernels import runs, slices
-from .runtime import written
+from .runtime import texts, written
 
 #: Base kinds in order, and the shapes that the method adds.
 BASE = ("assign", "access", "hex")
@@ -172,7 +172,7 @@ def scanned(docs: DataFrame, params: Params) -> DataFrame:
 
     owner = F.coalesce(F.col("source").cast("string"), F.lit(""))
     repository = F.concat_ws("/", owner, F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), owner.alias("owner"), repository.alias("repository")).mapInArrow(run, schema)
+    return texts(docs).select("doc_id", F.col("text").cast("string").alias("text"), owner.alias("owner"), repository.alias("repository")).mapInArrow(run, schema)
 
 
 def ownership(found: DataFrame) -> DataFrame:
