@@ -43,9 +43,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.components import components
 from . import kernels as K
-from .components import components
-from .runtime import written
+from .runtime import texts, written
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def shingle_sets(part: K.Slice, k: int) -> Iterator[np.ndarray]:
 
 
 def _texts(docs: DataFrame, *more) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *more)
+    return texts(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def sketch(docs: DataFrame, params: Params) -> np.ndarray:
@@ -126,7 +126,8 @@ def sketch(docs: DataFrame, params: Params) -> np.ndarray:
         yield from rows(0, totals)
 
     partial = _texts(docs).select("text").mapInArrow(count, schema)
-    groups = partial.repartition("part").mapInArrow(add, schema)
+    # sums of 64 tasks, then of all; a task holds a few chunks
+    groups = partial.repartition("part", "chunk").mapInArrow(add, schema)
     total = np.zeros(cells, np.uint64)
     for row in groups.repartition("chunk").mapInArrow(add, schema).select("chunk", "counts").toLocalIterator():
         size = min(CHUNK, cells)
@@ -397,8 +398,8 @@ def clusters(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, Dat
     # a first guess only, so few are tried: sets that share a third of their prefix with one hub
     near = found.where("id <> hub").groupBy("hub", "id").agg(F.count("*").alias("n")).join(places, "id").where(3 * F.col("n") >= params.prefix_column(F.col("size")))
     star = written(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "ngram-star")
-    # rows of one doc_id are one node
-    leaders = full.groupBy("print").agg(F.min("id").alias("leader"))
+    # rows of one doc_id are one node; written, so that a join with many copies of one set can be split
+    leaders = written(full.groupBy("print").agg(F.min("id").alias("leader")), "ngram-leaders")
     same = full.select("print", "id").join(leaders, "print").groupBy("id").agg(F.min("leader").alias("a"), F.max("leader").alias("b")).where("a <> b").select("a", "b")
     links = written(verified(docs, star, params).unionByName(same), "ngram-links")
     first = written(components(links), "ngram-first")
@@ -409,7 +410,7 @@ def clusters(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, Dat
     more = written(verified(docs, written(pairs, "ngram-pairs"), params), "ngram-more")
     last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = leaders.join(last, F.col("leader") == F.col("node"), "left").select("print", F.coalesce("component", "leader").alias("component"))
-    return rows.select("id", "size", "print"), named
+    return rows.select("id", "size", "print"), written(named, "ngram-named")
 
 
 def linked(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -425,6 +426,9 @@ def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
     nodes = written(result.groupBy("doc_id").agg(F.min("component_id").alias("component_"), F.count("*").alias("rows_")), "ngram-nodes")
     nodes = nodes.withColumnRenamed("doc_id", "node_")
     on = F.col("doc_id").cast("long") == F.col("node_")
-    once = docs.join(nodes.where("node_ <> component_ or rows_ > 1"), on, "left_anti")
-    repeated = docs.join(nodes.where("node_ = component_ and rows_ > 1"), on, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    # always a merge join: the rows to drop grow with the corpus, so they are never broadcast
+    once = docs.join(nodes.where("node_ <> component_ or rows_ > 1").hint("merge"), on, "left_anti")
+    again = nodes.where("node_ = component_ and rows_ > 1")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again.hint("merge"), on, "left_semi").dropDuplicates(["doc_id"]))

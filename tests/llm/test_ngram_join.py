@@ -6,7 +6,7 @@ from conftest import ODD, docs_frame
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from evigraph.llm import ngram_join as N
-from evigraph.llm.components import components
+from evigraph.operators.components import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
