@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
-from .runtime import written
+from .runtime import texts, written
 
 
 @dataclass(frozen=True)
@@ -58,6 +58,7 @@ class Params:
 
 
 Weights = dict[str, np.ndarray]
+CHUNK = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts(docs).select("doc_id", F.col("text").cast("string").alias("text"))
 
 
 def vocabulary(counts: DataFrame, params: Params) -> Vocabulary:
@@ -260,26 +261,29 @@ def train(docs: DataFrame, vocab: Vocabulary, params: Params) -> Weights:
                     for k in range(0, len(at), params.batch):
                         trainer.step(around[:, at[k : k + params.batch]], ids[at[k : k + params.batch]])
         if trainer.seen:
-            yield row(TaskContext.get().partitionId() // 64, float(trainer.seen), flat(trainer.weights).astype(np.float64) * trainer.seen)
+            values = flat(trainer.weights).astype(np.float64) * trainer.seen
+            yield from rows(TaskContext.get().partitionId() // 64, {c: (float(trainer.seen), values[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-len(values) // CHUNK))})
 
-    def row(part: int, seen: float, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seen": [seen], "weights": pa.array([values.astype(np.float32).tobytes()], pa.binary())})
+    def rows(part: int, chunks: dict[int, tuple[float, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for c, (seen, own) in chunks.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([c], pa.int32()), "seen": [seen], "weights": pa.array([own.astype(np.float32).tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = None, 0.0
+        totals: dict[int, tuple[float, np.ndarray]] = {}
         for batch in batches:
-            for n, raw in zip(batch.column("seen").to_pylist(), batch.column("weights").to_pylist()):
-                values = np.frombuffer(raw, np.float32).astype(np.float64)
-                total, seen = values if total is None else total + values, seen + n
-        if total is not None:
-            yield row(0, seen, total)
+            for c, n, raw in zip(*(batch.column(x).to_pylist() for x in ("chunk", "seen", "weights"))):
+                own = np.frombuffer(raw, np.float32).astype(np.float64)
+                seen, total = totals.get(c, (0.0, np.zeros(len(own))))
+                totals[c] = (seen + n, total + own)
+        yield from rows(0, totals)
 
-    schema = "part int, seen double, weights binary"
+    schema = "part int, chunk int, seen double, weights binary"
     partial = _texts(docs).select("text").mapInArrow(run, schema)
-    rows = partial.repartition("part").mapInArrow(add, schema).coalesce(1).mapInArrow(add, schema).collect()
-    if not rows:
+    # sums of 64 tasks, then of all; a task holds a few chunks, and the driver one set of weights
+    sums = {r["chunk"]: r for r in partial.repartition("part", "chunk").mapInArrow(add, schema).repartition("chunk").mapInArrow(add, schema).collect()}
+    if not sums:
         return start(vocab, params)
-    mean = np.frombuffer(rows[0]["weights"], np.float32).astype(np.float64) / rows[0]["seen"]
+    mean = np.concatenate([np.frombuffer(sums[c]["weights"], np.float32).astype(np.float64) / sums[c]["seen"] for c in sorted(sums)])
     out, at = {}, 0
     for k, shape in params.shapes.items():
         size = int(np.prod(shape))
