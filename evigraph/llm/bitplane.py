@@ -171,7 +171,7 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int, block: int =
                 {"part": pa.array([task.partitionId()], pa.int32()), "file": [name.removeprefix(base + "/")], "size": [size], "n_docs": [len(writer.docs)], "n_ids": [n_ids]}
             )
 
-    ranged = texts(docs).select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ranged = texts(docs, vocab.SLICE).select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return written(ranged.mapInArrow(run, schema), "shard-index")
 
 

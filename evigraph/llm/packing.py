@@ -162,7 +162,7 @@ def _measured(docs: DataFrame, params: Params, keep_ids: bool) -> DataFrame:
             if out:
                 yield flush()
 
-    return texts(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return texts(docs, vocab.SLICE).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, params: Params, keep_ids: bool = False) -> DataFrame:

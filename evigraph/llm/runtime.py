@@ -9,13 +9,13 @@ __all__ = ["fresh_path", "shared_dir", "table", "texts", "written"]
 BATCH_BYTES = 1 << 20
 
 
-def texts(df: DataFrame) -> DataFrame:
+def texts(df: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """df for a pass over Arrow batches of whole texts, with the session's batches bounded by bytes.
 
     The default batch of 10,000 rows of text costs each task several times its
     size in buffers outside the heap; rows of numbers still come by thousands.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return df
 
 
