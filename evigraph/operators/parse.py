@@ -23,6 +23,8 @@ SECTION_HEADINGS = {
     "limitation": r"limitations?|discussion|broader\s*impact|ethics",
     "conclusion": r"conclusions?(?:\s*(?:and\s*future\s*work)?)?|summary|future\s*work",
 }
+#: A word that every such heading holds, to pass over other lines quickly.
+HEADING_WORD = r"(?i)abstract|introduction|related|background|literature|prior|method|approach|model|framework|experiment|evaluation|results|empirical|limitation|discussion|impact|ethics|conclusion|summary|future"
 MAX_LEVEL = 6
 c = F.col
 
@@ -34,7 +36,7 @@ def section_key(heading: Column | str) -> Column:
     out = F.lit(None).cast("string")
     for key, pattern in reversed(SECTION_HEADINGS.items()):
         out = F.when(clean.rlike(rf"(?i)\A(?:{pattern})\z"), F.lit(key)).otherwise(out)
-    return out
+    return F.when(text.rlike(HEADING_WORD), out)
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
