@@ -22,7 +22,7 @@ from .kernels import LOWER, SPACE, Slice, ragged, runs, slices, span_hashes
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{E000}]|<\|"
 SEPARATOR = "\ue000"
 _BLANK = frozenset(b" \t\n\v\f\r")
-MEMO, SLICE, JOINED = 400_000, 3 << 20, 4000
+MEMO, SLICE, JOINED = 250_000, 3 << 20, 4000
 
 
 def _kinds() -> np.ndarray:
