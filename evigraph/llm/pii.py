@@ -7,9 +7,14 @@ network over the kind's domain (two residue classes whose sizes multiply to
 it), so it is one to one, and equal values stay linked across documents. Mail
 addresses get keyed names. Whatever fails validation is left as it is.
 
-Only DataFrame functions are used: one pattern finds all kinds in one pass, the
-text is split at the matches, and the pieces are joined with the pseudonyms.
-There is no shuffle; a task needs memory for one text at a time.
+A text is cut into runs of words that may hold values. In a run every place
+where a value can begin is tried, from left to right: of each kind the longest
+match that passes validation, with ends inside a chain such as 2024-01-02 last.
+A match that fails hides nothing inside or after it. Kinds of a fixed shape are
+looked for first, loose runs of digits in what is left.
+
+Only DataFrame functions are used. There is no shuffle; a task needs memory for
+one text at a time.
 
 Defined results: a null text stays null, an empty one empty; repeated rows give
 equal results; an empty table gives no rows; other columns pass through.
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,6 +40,22 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])",
 }
 ANY = "|".join(PATTERNS.values())
+#: Cards as they are printed, and phones without a country code.
+SHAPED = {
+    "phone": r"(?<!\+[0-9]{1,3}[ .-]?)(?<![\p{L}\p{N}+])(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}]|[.-][0-9])",
+    "card": r"(?<![\p{L}\p{N}+])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{3})?|[0-9]{4}(?:-[0-9]{4}){3}(?:-[0-9]{3})?|[0-9]{4}(?: [0-9]{6} [0-9]{4,5}|-[0-9]{6}-[0-9]{4,5}))(?![\p{L}\p{N}])",
+}
+#: Two passes over a run, each the kinds and patterns in the order tried at a place.
+PASSES = (
+    [(k, PATTERNS[k]) for k in ("iban", "date", "ip", "ssn")] + [(k, SHAPED[k]) for k in ("phone", "card")],
+    [(k, PATTERNS[k]) for k in ("phone", "card")],
+)
+#: Words with a digit or an at sign, each one space from the next, and words of capitals among them (parts of an iban).
+RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: (?:[^\s0-9@]*+[0-9@]\S*+|[A-Z]++(?![\p{L}\p{N}])\S*+))*+"
+#: A value begins where one of these does.
+TOKEN = r"(?s)[\p{L}\p{N}]+|."
+#: Characters seen before a place, and from it on: more than any pattern but that of mail takes.
+BEFORE, AHEAD = 6, 64
 
 
 @dataclass(frozen=True)
@@ -179,29 +201,108 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
     return F.lit(True), F.concat(name, F.lit("@"), host)
 
 
-def _replaced(params: Params) -> Callable[[Column], Column]:
-    """For one match: its kind (null if it fails validation) and what stands in for it."""
-    make = {"email": _email, "iban": _iban, "date": lambda m, key: _date(m, params), "ip": _ip, "card": _card, "ssn": _ssn, "phone": _phone}
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _makers(params: Params) -> dict[str, Callable[[Column], tuple[Column, Column]]]:
+    """For each kind: whether a match is valid, and what stands in for it."""
+    key = params.key
+    return {"email": lambda m: _email(m, key), "iban": lambda m: _iban(m, key), "date": lambda m: _date(m, params), "ip": lambda m: _ip(m, key), "card": lambda m: _card(m, key), "ssn": lambda m: _ssn(m, key), "phone": lambda m: _phone(m, key)}
+
+
+def _valid_start(near: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+    """The longest valid match at the place that near looks at, null if there is none; ends inside a chain come last."""
+    def prefixes(longest: Column) -> Column:
+        after = lambda e: near.substr(e + BEFORE + 1, F.lit(2))
+        chained = lambda e: after(e).rlike("^[-./][0-9]")
+        ends = F.filter(F.sequence(F.length(longest), F.lit(1), F.lit(-1)), lambda e: ~after(e).rlike(r"^[\p{L}\p{N}]") | (e == F.length(longest)))
+        ordered = _let(ends, lambda own: F.concat(F.filter(own, lambda e: ~chained(e)), F.filter(own, chained)))
+        own = F.transform(ordered, lambda e: longest.substr(F.lit(1), e))
+        return F.get(F.filter(own, lambda x: x.rlike(f"^(?:{pattern})$") & F.coalesce(valid(x), F.lit(False))), F.lit(0))
+
+    return _let(F.regexp_extract(near, f"(?s)^.{{{BEFORE}}}({pattern})", 1), lambda g: F.when(g != "", prefixes(g)))
+
+
+HIT = "struct<at:int,kind:string,old:string>"
+
+
+def _scanned(run: Column, patterns: list[tuple[str, str]], params: Params) -> Column:
+    """The pieces of a run as (kind, value): values found, and the text between them with a null kind."""
+    make = _makers(params)
+
+    def tried(near: Column, at: Column) -> Column:
+        def one(name: str, pattern: str) -> Column:
+            own = _valid_start(near, pattern, lambda x: make[name](x)[0])
+            return _let(own, lambda x: F.when(x.isNotNull(), F.struct(at.alias("at"), F.lit(name).alias("kind"), x.alias("old"))))
+
+        return F.coalesce(*(one(*p) for p in patterns))
+
+    def hits(padded: Column) -> Column:
+        def step(acc: Column, token: Column) -> Column:
+            free = (acc["at"] >= acc["until"]) & token.rlike("^[0-9A-Z+(]")
+            hit = F.when(free, _let(padded.substr(acc["at"], F.lit(BEFORE + AHEAD)), lambda near: tried(near, acc["at"])))
+            return _let(hit, lambda h: F.struct(
+                (acc["at"] + F.length(token)).alias("at"), F.when(h.isNull(), acc["until"]).otherwise(h["at"] + F.length(h["old"])).alias("until"),
+                F.when(h.isNull(), acc["hits"]).otherwise(F.concat(acc["hits"], F.array(h))).alias("hits"),
+            ))
+
+        start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("until"), F.array().cast(f"array<{HIT}>").alias("hits"))
+        return F.aggregate(F.regexp_extract_all(run, F.lit(TOKEN), F.lit(0)), start, step)["hits"]
+
+    def pieces(found: Column) -> Column:
+        end = lambda h: h["at"] + F.length(h["old"])
+        before = lambda i: F.when(i == 0, F.lit(1)).otherwise(end(F.get(found, i - 1)))
+        each = F.transform(found, lambda h, i: F.array(_piece(None, run.substr(before(i), h["at"] - before(i))), _piece(h["kind"], h["old"])))
+        return F.concat(F.flatten(each), F.array(_piece(None, run.substr(before(F.size(found)), F.length(run)))))
+
+    return _let(_let(F.concat(F.lit(" " * BEFORE), run), hits), pieces)
+
+
+def _piece(kind: Column | None, value: Column) -> Column:
+    return F.struct((F.lit(None).cast("string") if kind is None else kind).alias("kind"), value.alias("value"))
+
+
+def _deeper(cut: Callable[[Column], Column], pattern: str, pieces: Column) -> Column:
+    """Pieces of text that the pattern matches somewhere cut further; the others, and values, as they are."""
+    return F.flatten(F.transform(pieces, lambda x: F.when(x["kind"].isNull() & x["value"].rlike(pattern), cut(x["value"])).otherwise(F.array(x))))
+
+
+def _replaced(piece: Column, params: Params) -> Column:
+    """What stands in for a value; text stays."""
+    out = piece["value"]
+    for name, make in _makers(params).items():
+        out = F.when(piece["kind"] == name, make(piece["value"])[1]).otherwise(out)
+    return out
+
+
+def _each_run(found: str, cut: Callable[[Column], Column], pattern: str) -> Column:
+    return F.transform(found, lambda pieces: _deeper(cut, pattern, pieces))
 
-    def one(m: Column) -> Column:
-        kind, value = F.lit(None).cast("string"), m
-        for name in reversed(KINDS):
-            valid, new = make[name](m, params.key)
-            hit = m.rlike(f"^(?:{PATTERNS[name]})$") & F.coalesce(valid, F.lit(False))
-            kind, value = F.when(hit, F.lit(name)).otherwise(kind), F.when(hit, new).otherwise(value)
-        return F.struct(kind.alias("kind"), value.alias("value"))
 
-    return one
+def _mails(m: Column) -> Column:
+    """The pieces of a text between and at mail addresses, which need no validation."""
+    mail = PATTERNS["email"]
+    own = F.transform(F.regexp_extract_all(m, F.lit(mail), F.lit(0)), lambda x: _piece(F.lit("email"), x))
+    return F.filter(F.flatten(F.zip_with(F.transform(F.split(m, mail, -1), lambda t: _piece(None, t)), own, lambda t, x: F.array(t, x))), lambda x: x.isNotNull())
 
 
 def pseudonymise(docs: DataFrame, params: Params = Params(), column: str = "text", found: str = "found_") -> DataFrame:
     """docs with the text rewritten, and an array column of (kind, value) for what was found."""
     text = F.col(column).cast("string")
     # a text without a digit or an at sign has no match of any kind
-    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    step = docs.withColumn(found, F.coalesce(F.transform(matches, _replaced(params)), F.array().cast("array<struct<kind:string,value:string>>")))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.col(found), lambda t, f: F.concat(t, F.coalesce(f["value"], F.lit(""))))
-    return step.withColumn(column, F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(F.col(column)))
+    runs = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    step = docs.withColumn(found, F.coalesce(F.transform(runs, lambda m: F.array(_piece(None, m))), F.array().cast("array<array<struct<kind:string,value:string>>>")))
+    # mail, then values of a fixed shape, then loose ones; steps of their own, as the analyser follows lambdas only so deep
+    cuts = [(PATTERNS["email"], _mails)]
+    cuts += [("|".join(p for _, p in patterns), partial(_scanned, patterns=patterns, params=params)) for patterns in PASSES]
+    for pattern, cut in cuts:
+        step = step.withColumn(found, _each_run(found, cut, pattern))
+    step = step.withColumn(found, F.transform(found, lambda pieces: F.transform(pieces, lambda x: _piece(x["kind"], _replaced(x, params)))))
+    values = F.filter(F.flatten(found), lambda f: f["kind"].isNotNull())
+    whole = F.zip_with(F.split(text, RUN, -1), F.col(found), lambda t, f: F.concat(t, F.coalesce(F.array_join(F.transform(f, lambda x: x["value"]), ""), F.lit(""))))
+    return step.withColumns({column: F.when(F.size(values) > 0, F.array_join(whole, "")).otherwise(F.col(column)), found: values})
 
 
 def report(docs: DataFrame, params: Params = Params()) -> DataFrame:

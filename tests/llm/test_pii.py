@@ -92,3 +92,22 @@ def test_report_and_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.report(docs_frame(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "Exchange" not in plan
+
+
+ADJACENT = [
+    ("4111 1111 1111 1111 12/25", r"[0-9 ]{19} 12/25", ["card"]), ("4111 1111 1111 1111 123", r"[0-9 ]{19} 123", ["card"]), ("1234 4111 1111 1111 1111", r"1234 [0-9 ]{19}", ["card"]),
+    ("1234 5678 4111 1111 1111 1111 9", r"1234 5678 [0-9 ]{19} 9", ["card"]), ("AB12 4111 1111 1111 1111", r"AB12 [0-9 ]{19}", ["card"]), ("378282246310005 12", r"[0-9]{15} 12", ["card"]),
+    ("123-45-6789 2024-01-02", r"[0-9-]{11} [0-9-]{10}", ["ssn", "date"]), ("123-45-6789 234-56-7890", r"[0-9-]{11} [0-9-]{11}", ["ssn", "ssn"]),
+    ("555-123-4567 555-987-6543", r"[0-9-]{12} [0-9-]{12}", ["phone", "phone"]), ("+1 555 123 4567 2024-01-02", r"\+1 [0-9 ]{12} [0-9-]{10}", ["phone", "date"]),
+    ("+1 555 123 4567 4111 1111 1111 1111", r"\+1 [0-9 ]{12} [0-9 ]{19}", ["phone", "card"]), ("BE68 5390 0754 7034 THE", r"BE[0-9 ]{17} THE", ["iban"]),
+    ("2024-01-02 2024-01-03 10.1.2.3 a.b@c.org 123-45-6789", r"[0-9-]{10} [0-9-]{10} [0-9.]+ user\S+ [0-9-]{11}", ["date", "date", "ip", "email", "ssn"]),
+    ("1 2 3 4 5 6 7 8 9 " * 2000 + "123-45-6789", r"[0-9 ]{36000}[0-9-]{11}", None),
+]
+
+
+def test_adjacent_values(spark):
+    got, kinds = rewrite(spark, [x for text, _, _ in ADJACENT for x in (f"pre {text} post", f"x\n{text}, y")])
+    for i, (text, left, want) in enumerate(ADJACENT):
+        own = got[2 * i][4:-5]
+        assert (kinds[2 * i] == want if want else kinds[2 * i][-1] == "ssn") and re.fullmatch(left, own), (text[:60], own[:60], kinds[2 * i])
+        assert not own.endswith("123-45-6789") and got[2 * i + 1] == f"x\n{own}, y"
