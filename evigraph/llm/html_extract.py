@@ -7,7 +7,9 @@ composite text density: characters a tag, lowered by the share of linked
 characters and linked tags against the body's. The node whose children's
 densities sum highest is the core; the lowest density on its path to the body
 is the threshold, and in every subtree that reaches it the node of highest sum
-is kept whole.
+is kept whole. The outermost article or main element around the core is kept
+whole as well; where there is none, so is the body, but for blocks of which half
+the characters or more are links.
 
 Blocks are the runs of text between block-level elements; white space in a
 block becomes one space and blocks are joined by an empty line. Defined results:
@@ -252,8 +254,22 @@ def _core(dom: _Dom, texts: list[tuple[int, str]]) -> list[bool]:
         if open_ and not dom.aside[k] and chars[k] and density[k] >= threshold - 1e-9:
             reached[k] = True
             chosen[top[k]] = True
+    # headings, lists and sparse sections beside the core belong to its article
+    k, whole = best, -1
+    while k > 0:
+        if dom.name[k] in ("article", "main"):
+            whole = k
+        k = dom.parent[k]
+    if whole >= 0:
+        chosen[whole] = True
+    inherited, whole_body = [False] * n, [False] * n
+    page = next((k for k in range(n) if dom.name[k] == "body"), 0)
     for k in range(n):
-        keep[k] = not dom.aside[k] and (chosen[k] or k > 0 and keep[dom.parent[k]])
+        if whole < 0:
+            around = k == page or k > 0 and whole_body[dom.parent[k]]
+            whole_body[k] = around and not dom.aside[k] and (k == page or text_level[k] or 2 * linked[k] < chars[k])
+        inherited[k] = not dom.aside[k] and (chosen[k] or k > 0 and inherited[dom.parent[k]])
+        keep[k] = inherited[k] or whole_body[k]
     return keep
 
 

@@ -52,3 +52,22 @@ def test_table(spark):
     got = sorted(map(tuple, H.main_text(df).collect()), key=str)
     assert len(got) == 3 and got[0] == got[1] and got[2] == (2, None, "", 0) and got[0][3] == len(got[0][2])
     assert H.main_text(df.limit(0)).count() == 0
+
+
+PARAGRAPHS = "".join(f"<p>{f'long text {i} ' * 25}</p>" for i in range(10))
+SPARSE = "<ul>" + "".join(f"<li>item {i:02} {'of a list of short lines ' * 2}</li>" for i in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article><h1>Headline</h1><div>%s</div></article></body>" % PARAGRAPHS,
+        "<body><article><h1>Headline</h1><div>%s</div><section><h2>More</h2>%s</section></article></body>" % (PARAGRAPHS, SPARSE),
+        "<body><main><h1>Headline</h1><article><section>%s</section></article><section>%s</section></main></body>" % (PARAGRAPHS, SPARSE),
+        "<body><ul><li><a href=1>Home</a><li><a href=2>News</a></ul><h1>Headline</h1><div><div>%s</div></div><section>%s</section></body>" % (PARAGRAPHS, SPARSE),
+    ],
+)
+def test_wrapped_and_several_sections(page):
+    got = H.extract(page)
+    assert got.startswith("Headline\n\n") and all(f"long text {i} " in got for i in range(10)) and "Home" not in got
+    assert all(f"item {i:02} of" in got for i in range(12)) or SPARSE not in page
