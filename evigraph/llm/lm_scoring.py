@@ -8,11 +8,13 @@ for each window position are summed, squashed, and fed to a two-level softmax
 of every document; tasks train from the same start on their own documents and
 their weights are averaged by tokens. A document's score sums, over all its
 tokens, the log-probability of the token given both sides; a bucket's token
-pays in addition for the number of different words in its bucket.
+adds the log of its word's share of the bucket's occurrences. The counts of all
+words stay a table, and the words of the texts outside the vocabulary are joined
+with it; a word that the corpus lacks counts as one occurrence.
 
 What tasks hand on grows with the corpus (word counts, one set of weights a
-task); what reaches the driver has a fixed size (the vocabulary, bucket sizes,
-one set of weights).
+task, words to be joined); what reaches the driver has a fixed size (the
+vocabulary, bucket sizes, one set of weights).
 
 Defined results: a null or empty text has no tokens, log-probability 0 and a
 null mean; repeated rows score alike; an empty table gives no rows.
@@ -25,10 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
-from .runtime import texts, written
+from .runtime import fresh_path, texts, written
 
 
 @dataclass(frozen=True)
@@ -59,17 +61,20 @@ class Params:
 
 Weights = dict[str, np.ndarray]
 CHUNK = 1 << 15
+#: Parts of one in which logs of counts are summed.
+FINE = 1_000_000_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Sorted hashes of the words with ids of their own, their ids, and log sizes of the buckets."""
+    """Sorted hashes of the words with ids of their own, their ids, logs of the buckets' occurrences, and where the counts of all words lie."""
 
     hashes: np.ndarray
     ids: np.ndarray
     penalty: np.ndarray
     counts: np.ndarray
     own: int
+    words: str = ""
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         out = self.own + ((hashes >> np.uint64(20)) % np.uint64(len(self.penalty))).astype(np.int64)
@@ -115,20 +120,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", F.col("text").cast("string").alias("text"))
 
 
-def vocabulary(counts: DataFrame, params: Params) -> Vocabulary:
+def vocabulary(spark: SparkSession, path: str, params: Params) -> Vocabulary:
     """From a written table of word counts."""
+    counts = spark.read.parquet(path)
     top = counts.orderBy(F.desc("n"), "word").limit(params.own).collect()
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     rest = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(r["word"],) for r in top], "word long")), "word", "left_anti")
     # the unsigned shift of the hash, as encode() does it
     bucket = F.pmod(F.shiftrightunsigned("word", 20), F.lit(params.buckets)).alias("bucket")
-    sizes, totals = np.zeros(params.buckets), np.zeros(params.buckets)
-    for r in rest.groupBy(bucket).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
-        sizes[r["bucket"]], totals[r["bucket"]] = r["words"], r["n"]
+    totals = np.zeros(params.buckets)
+    for r in rest.groupBy(bucket).agg(F.sum("n").alias("n")).collect():
+        totals[r["bucket"]] = r["n"]
     own = np.zeros(params.own)
     own[: len(top)] = [r["n"] for r in top]
-    return Vocabulary(hashes[order], order.astype(np.int64), np.log(np.maximum(sizes, 1)), np.concatenate([own, totals]), params.own)
+    return Vocabulary(hashes[order], order.astype(np.int64), np.log(np.maximum(totals, 1)), np.concatenate([own, totals]), params.own, path)
 
 
 def start(vocab: Vocabulary, params: Params) -> Weights:
@@ -294,7 +300,9 @@ def train(docs: DataFrame, vocab: Vocabulary, params: Params) -> Weights:
 
 def fit(docs: DataFrame, params: Params = Params()) -> tuple[Vocabulary, Weights]:
     """The vocabulary and the trained network of a corpus."""
-    vocab = vocabulary(written(word_counts(docs), "lm-words"), params)
+    path = fresh_path(docs.sparkSession, "lm-words")
+    word_counts(docs).write.option("compression", "zstd").parquet(path)
+    vocab = vocabulary(docs.sparkSession, path, params)
     return vocab, train(docs, vocab, params)
 
 
@@ -305,6 +313,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Weights], params: Params = P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, weights = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in K.slices(batch.column("text")):
                 w = K.words(part, lower=True)
@@ -314,8 +323,22 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Weights], params: Params = P
                 own[rare] -= vocab.penalty[ids[rare] - vocab.own]
                 total = np.concatenate([[0.0], np.cumsum(own)])
                 n = np.diff(w.first)
-                sums = np.round(total[w.first[1:]] - total[w.first[:-1]], 6)
-                mean = pa.array(np.round(sums / np.maximum(n, 1), 6), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.first, part.last - part.first), pa.array(n), pa.array(sums), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+                # the different rare words of each row, and how often each stands there
+                at, word = np.repeat(np.arange(len(n)), n)[rare], w.hashes[rare]
+                order = np.lexsort((word, at))
+                at, word = at[order], word[order]
+                new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (word[1:] != word[:-1]))) if len(at) else np.zeros(0, np.int64)
+                times = pa.StructArray.from_arrays([pa.array(word[new].view(np.int64)), pa.array(np.diff(np.append(new, len(at))))], ["word", "k"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[new], np.arange(len(n) + 1)).astype(np.int32)), times)
+                own_rows = batch.column("doc_id").slice(part.first, part.last - part.first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), own_rows, pa.array(n), pa.array(total[w.first[1:]] - total[w.first[:-1]]), lists], ["row", "doc_id", "n_tokens", "base", "rare"])
+                row += len(n)
+
+    rows = written(_texts(docs).mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, base double, rare array<struct<word:long,k:long>>"), "lm-scores")
+    # the log of one occurrence is 0, so words counted once need no row; sums of integers do not depend on the order
+    counts = docs.sparkSession.read.parquet(model[0].words).where("n > 1").select("word", F.round(F.log("n") * FINE).cast("long").alias("log_n"))
+    rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k")
+    gains = rare.join(counts.hint("merge"), "word").groupBy("row").agg(F.sum(F.col("log_n") * F.col("k")).alias("gain"))
+    log_prob = F.round(F.col("base") + F.coalesce("gain", F.lit(0)) / FINE, 6)
+    mean = F.when(F.col("n_tokens") > 0, F.round(log_prob / F.col("n_tokens"), 6))
+    return rows.join(gains.hint("merge"), "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))

@@ -82,3 +82,13 @@ def test_odd_rows(spark):
     assert by[0] == {(0, 0.0, None)} and len(by[3]) == 1 and all(p <= 0 for own in by.values() for _, p, _ in own)
     empty = docs.limit(0)
     assert L.score(empty, L.fit(empty, SMALL), SMALL).count() == 0
+
+
+def test_rare_words_score_by_their_own_counts(spark):
+    params = L.Params(own=4, buckets=4, classes=2, width=4, batch=64)
+    often = ["a b c d"] * 60
+    model = L.fit(docs_frame(spark, often + [f"r{i}" for i in range(24) for _ in range(i + 1)]), params)
+    rows = L.score(docs_frame(spark, [*(f"r{i}" for i in range(24)), "r23 r23 unseen"]), model, params).orderBy("doc_id").collect()
+    # in one bucket and context, words differ by the logs of their counts
+    left = np.array([r.log_prob - np.log(i + 1) for i, r in enumerate(rows[:24])])
+    assert len(set(np.round(left, 5))) <= 4 and rows[24].n_tokens == 3
