@@ -5,7 +5,7 @@ others share hashed buckets. A small network, written and trained in numpy,
 predicts a masked token from the tokens of a window on both sides: embeddings
 for each window position are summed, squashed, and fed to a two-level softmax
 (class, then token in the class). Training masks one position in ``mask_every``
-of every document; tasks train from the same start on their own documents and
+of every document a round, and the rounds of an epoch cover all positions; tasks train from the same start on their own documents and
 their weights are averaged by tokens. A document's score sums, over all its
 tokens, the log-probability of the token given both sides; a bucket's token
 adds the log of its word's share of the bucket's occurrences. The counts of all
@@ -237,9 +237,10 @@ class Trainer:
         self.seen += n
 
 
-def _positions(first: np.ndarray, params: Params, epoch: int) -> np.ndarray:
-    """The masked positions: one in mask_every of each document, counted over the slice."""
-    return np.arange(epoch % params.mask_every, int(first[-1]), params.mask_every)
+def _positions(first: np.ndarray, params: Params, turn: int) -> np.ndarray:
+    """The masked positions of a round: one in mask_every of each document."""
+    inside = np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(inside % params.mask_every == turn % params.mask_every)
 
 
 def train(docs: DataFrame, vocab: Vocabulary, params: Params) -> Weights:
@@ -261,9 +262,9 @@ def train(docs: DataFrame, vocab: Vocabulary, params: Params) -> Weights:
                     continue
                 ids = own.encode(w.hashes)
                 around = contexts(ids, w.first, params)
-                for epoch in range(params.epochs):
-                    at = _positions(w.first, params, epoch)
-                    at = at[np.random.default_rng(params.seed + epoch).permutation(len(at))]
+                for turn in range(params.epochs * params.mask_every):
+                    at = _positions(w.first, params, turn)
+                    at = at[np.random.default_rng(params.seed + turn).permutation(len(at))]
                     for k in range(0, len(at), params.batch):
                         trainer.step(around[:, at[k : k + params.batch]], ids[at[k : k + params.batch]])
         if trainer.seen:

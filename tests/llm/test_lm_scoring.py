@@ -92,3 +92,9 @@ def test_rare_words_score_by_their_own_counts(spark):
     # in one bucket and context, words differ by the logs of their counts
     left = np.array([r.log_prob - np.log(i + 1) for i, r in enumerate(rows[:24])])
     assert len(set(np.round(left, 5))) <= 4 and rows[24].n_tokens == 3
+
+
+def test_an_epoch_trains_every_position():
+    first, params = np.array([0, 1, 1, 4, 15]), L.Params()
+    turns = [L._positions(first, params, i) for i in range(params.epochs * params.mask_every)]
+    assert sorted(np.concatenate(turns)) == list(range(15)) and set(turns[0]) == {0, 1, 4, 8, 12}
