@@ -11,7 +11,7 @@ from ..operators import models as M
 from ..operators import parse, resolve, store as ST, vectors as V
 from ..plans import retrieval as RT
 from ..projection import SQL, graph_of
-from ..runtime import shared_dir
+from ..runtime import fresh_path, shared_dir
 from ..sources import citations
 from .graph import BRIDGES, GAPS, LEDGER, METHODS, SIDE_A, SIDE_B, _family
 
@@ -337,6 +337,18 @@ def src11_citation_source(g):
     return out.select(c("citing").cast("long").alias("paper_id"), "title", "year")
 
 
+@query("SELECT paper_id, title, CAST(year AS INTEGER) AS year FROM paper WHERE title <> ''")
+def src11_citation_source_whole(g):
+    """Every paper, its answers read from a written table file by file."""
+    spark = g.paper.sparkSession
+    citations.register(spark)
+    answer = F.to_json(F.array(F.struct("title", "year"), F.struct(F.lit("").alias("title"), F.lit(None).cast("int").alias("year"))))
+    path = fresh_path(spark, "citations")
+    g.paper.select(c("paper_id").cast("string").alias("id"), answer.alias("answer")).write.parquet(path)
+    out = spark.read.format("paper_citations").option("path", path).load()
+    return out.select(c("citing").cast("long").alias("paper_id"), "title", "year")
+
+
 REVIEW = """SELECT o_orderkey AS paper_id, CAST(left(o_orderpriority, 1) AS INTEGER) AS rating, 'Good point one' AS strength, concat('Weak ', o_orderpriority) AS weakness FROM orders"""
 
 
