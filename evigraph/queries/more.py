@@ -298,6 +298,13 @@ def txt05_attached_content(t):
     return parse.attach_content(parse.heading_tree(parse.markdown_headings(docs)), docs).where("content is not null").select("doc_id", "content")
 
 
+@raw(r"""WITH own AS (SELECT doc_id, regexp_replace(text, '\A[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+\z', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN length(t) > 10000 THEN concat(left(t, 10000), '...') ELSE t END AS content FROM own""")
+def txt05_attached_content_whole(t):
+    docs = t["documents"].where("text is not null").select("doc_id", F.concat(F.lit("# Head\n"), "text").alias("text"))
+    return parse.attach_content(parse.heading_tree(parse.markdown_headings(docs)), docs).where("content is not null").select("doc_id", "content")
+
+
 @raw("SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'introduction' WHEN '2' THEN 'method' WHEN '3' THEN 'experiments' ELSE NULL END AS key FROM orders")
 def txt06_section_keys(t):
     title = F.when(c("o_orderpriority") == "1-URGENT", "## 1 Introduction").when(c("o_orderpriority") == "2-HIGH", "3. Our Approach").when(c("o_orderpriority") == "3-MEDIUM", "Experimental Results").otherwise("Thanks")
