@@ -20,6 +20,7 @@ empty table gives no rows; null item ids are ignored in the list of items.
 """
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -151,16 +152,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, params: Params = Params
     )
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with columns of reserved names under generated ones, and the columns that give the old names back."""
+    names = {x: f"{x}{uuid.uuid4().hex}" if x.lower() in RESERVED else x for x in docs.columns}
+    return docs.withColumnsRenamed({a: b for a, b in names.items() if a != b}), [F.col(f"`{b}`").alias(a) for a, b in names.items()]
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
-    if set(docs.columns) & RESERVED:
-        raise ValueError(f"columns with reserved names: {sorted(set(docs.columns) & RESERVED)}")
     return docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
     """docs, all columns, without the rows that hold an occurrence of a window."""
     bad = hits(docs, benchmark, params).select(F.col("doc_id").alias("doc_id_"), F.col("text_key").alias("text_key_")).distinct()
-    return _joined(_with_key(docs), bad, "left_anti").drop("text_key")
+    docs, back = _apart(docs)
+    return _joined(_with_key(docs), bad, "left_anti").select(*back)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
@@ -171,6 +177,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     """
     text = F.col("text").cast("string")
     own, between, hit = F.col("own_"), F.col("between_"), F.col("hit_")
+    docs, back = _apart(docs)
     out = _joined(_with_key(docs), _gathered(docs, benchmark, params), "left")
     out = out.withColumn("own_", F.when(F.col("spans_").isNotNull(), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
     out = out.withColumn("between_", F.when(F.col("spans_").isNotNull(), F.split(text, WORD, -1)))
@@ -183,7 +190,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     out = out.withColumn("text", F.when(F.col("spans_").isNotNull(), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("spans_").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*back)
 
 
 def contamination_sql(params: Params = Params()) -> str:

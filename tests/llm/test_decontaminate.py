@@ -88,3 +88,12 @@ def test_empty_tables(spark):
 def test_no_python_in_the_plan(spark):
     plan = D.contamination(docs_frame(spark, ["a"]), bench(spark, [(1, PASSAGE)]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
+
+
+def test_columns_of_reserved_names_pass_through(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
+    docs = docs_frame(spark, ["plain words", "x " + " ".join(f"w{i}" for i in range(12)) + " y"]).selectExpr("*", *(f"doc_id + {k} as {x}" for k, x in enumerate(sorted(D.RESERVED))))
+    kept, cut = D.remove_documents(docs, bench), D.remove_spans(docs, bench)
+    assert kept.columns == cut.columns == docs.columns
+    assert kept.collect() == docs.where("doc_id = 0").collect()
+    assert [r.text.split() for r in cut.orderBy("doc_id").collect()] == [["plain", "words"], ["x", "y"]] and cut.agg({"spans_": "sum"}).first()[0] == docs.agg({"spans_": "sum"}).first()[0]
