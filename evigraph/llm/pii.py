@@ -11,13 +11,17 @@ A text is cut into runs of words that may hold values. In a run every place
 where a value can begin is tried, from left to right: of each kind the longest
 match that passes validation, with ends inside a chain such as 2024-01-02 last.
 A match that fails hides nothing inside or after it. Kinds of a fixed shape are
-looked for first, loose runs of digits in what is left.
+looked for first, loose runs of digits in what is left. A run is walked in
+chunks that see past both their ends, so its time grows with its length.
 
 Only DataFrame functions are used. There is no shuffle; a task needs memory for
-one text at a time.
+one text at a time. No pattern repeats a group without bound unless the
+repetition is possessive, so the depth of the matcher does not grow with a text.
 
-Defined results: a null text stays null, an empty one empty; repeated rows give
-equal results; an empty table gives no rows; other columns pass through.
+Defined results: a null text stays null, an empty one empty; a very long text is
+rewritten whole; repeated rows give equal results; of values that could begin at
+one place the kind listed first stands (a tie); an empty table gives no rows;
+other columns pass through, also those of the names used here.
 """
 from __future__ import annotations
 
@@ -27,11 +31,13 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .runtime import free_name
+
 ROUNDS = 8
 KINDS = ("email", "iban", "date", "ip", "card", "ssn", "phone")
 #: Patterns by kind, tried in this order at each position.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![\p{N}/-]|\.[0-9]|(?!T[0-9])\p{L})",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
@@ -56,6 +62,8 @@ RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: (?:[^\s0-9@]*+[0-9@]\S*+|[A-Z]++(?![\p{L
 TOKEN = r"(?s)[\p{L}\p{N}]+|."
 #: Characters seen before a place, and from it on: more than any pattern but that of mail takes.
 BEFORE, AHEAD = 6, 64
+#: A part of a run: about so many characters, up to the end of a token, of a run with BEFORE blanks in front.
+CHUNK = r"(?s)(?<=(.{%d})).{1,500}+[\p{L}\p{N}]*+(?=(.{0,%d}))" % (BEFORE, AHEAD)
 
 
 @dataclass(frozen=True)
@@ -226,10 +234,11 @@ def _valid_start(near: Column, pattern: str, valid: Callable[[Column], Column])
 
 
 HIT = "struct<at:int,kind:string,old:string>"
+PIECE = "struct<kind:string,value:string>"
 
 
 def _scanned(run: Column, patterns: list[tuple[str, str]], params: Params) -> Column:
-    """The pieces of a run as (kind, value): values found, and the text between them with a null kind."""
+    """The pieces of a run as (kind, value): values found, and the text between them, in one or more parts, with a null kind."""
     make = _makers(params)
 
     def tried(near: Column, at: Column) -> Column:
@@ -239,25 +248,46 @@ def _scanned(run: Column, patterns: list[tuple[str, str]], params: Params) -> Co
 
         return F.coalesce(*(one(*p) for p in patterns))
 
-    def hits(padded: Column) -> Column:
-        def step(acc: Column, token: Column) -> Column:
-            free = (acc["at"] >= acc["until"]) & token.rlike("^[0-9A-Z+(]")
-            hit = F.when(free, _let(padded.substr(acc["at"], F.lit(BEFORE + AHEAD)), lambda near: tried(near, acc["at"])))
-            return _let(hit, lambda h: F.struct(
-                (acc["at"] + F.length(token)).alias("at"), F.when(h.isNull(), acc["until"]).otherwise(h["at"] + F.length(h["old"])).alias("until"),
-                F.when(h.isNull(), acc["hits"]).otherwise(F.concat(acc["hits"], F.array(h))).alias("hits"),
-            ))
+    def step(seen: Column, acc: Column, token: Column) -> Column:
+        """Look at one token; places count from 1 at the chunk's own first character."""
+        free = (acc["at"] >= acc["until"]) & token.rlike("^[0-9A-Z+(]")
+        hit = F.when(free, _let(seen.substr(acc["at"], F.lit(BEFORE + AHEAD)), lambda near: tried(near, acc["at"])))
+        return _let(hit, lambda h: F.struct(
+            (acc["at"] + F.length(token)).alias("at"), F.when(h.isNull(), acc["until"]).otherwise(h["at"] + F.length(h["old"])).alias("until"),
+            F.when(h.isNull(), acc["hits"]).otherwise(F.concat(acc["hits"], F.array(h))).alias("hits"),
+        ))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        start = F.struct(F.lit(1).alias("at"), acc["until"].alias("until"), F.array().cast(f"array<{HIT}>").alias("hits"))
+        end = F.aggregate(F.regexp_extract_all(part["own"], F.lit(TOKEN), F.lit(0)), start, lambda a, t: step(part["seen"], a, t))
+        return _let(end, lambda e: F.struct(
+            F.greatest(e["until"] - F.length(part["own"]), F.lit(1)).alias("until"), F.concat(acc["out"], F.array(pieces(part["own"], e["hits"], acc["until"]))).alias("out")
+        ))
+
+    def pieces(own: Column, found: Column, first: Column) -> Column:
+        end = lambda h: h["at"] + F.length(h["old"])
+        before = lambda i: F.when(i == 0, first).otherwise(end(F.get(found, i - 1)))
+        each = F.transform(found, lambda h, i: F.array(_piece(None, own.substr(before(i), h["at"] - before(i))), _piece(h["kind"], h["old"])))
+        return F.concat(F.flatten(each), F.array(_piece(None, own.substr(before(F.size(found)), F.length(own)))))
+
+    padded = F.concat(F.lit(" " * BEFORE), run)
+    parts = lambda group: F.regexp_extract_all(padded, F.lit(CHUNK), F.lit(group))
+    both = F.zip_with(F.zip_with(parts(1), parts(0), lambda b, o: F.struct(o.alias("own"), F.concat(b, o).alias("seen"))), parts(2), lambda p, a: F.struct(p["own"].alias("own"), F.concat(p["seen"], a).alias("seen")))
+    return F.flatten(F.aggregate(both, F.struct(F.lit(1).alias("until"), F.array().cast(f"array<array<{PIECE}>>").alias("out")), chunk)["out"])
 
-        start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("until"), F.array().cast(f"array<{HIT}>").alias("hits"))
-        return F.aggregate(F.regexp_extract_all(run, F.lit(TOKEN), F.lit(0)), start, step)["hits"]
 
-    def pieces(found: Column) -> Column:
-        end = lambda h: h["at"] + F.length(h["old"])
-        before = lambda i: F.when(i == 0, F.lit(1)).otherwise(end(F.get(found, i - 1)))
-        each = F.transform(found, lambda h, i: F.array(_piece(None, run.substr(before(i), h["at"] - before(i))), _piece(h["kind"], h["old"])))
-        return F.concat(F.flatten(each), F.array(_piece(None, run.substr(before(F.size(found)), F.length(run)))))
+def _joined(pieces: Column) -> Column:
+    """Pieces with the parts of text between two values made one."""
+    at = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.get(pieces, i)["kind"].isNotNull())
 
-    return _let(_let(F.concat(F.lit(" " * BEFORE), run), hits), pieces)
+    def between(a: Column, b: Column) -> Column:
+        return _piece(None, F.array_join(F.transform(F.slice(pieces, a + 1, b - a), lambda x: x["value"]), ""))
+
+    def made(own: Column) -> Column:
+        each = F.transform(own, lambda p, i: F.array(between(F.coalesce(F.get(own, i - 1) + 1, F.lit(0)), p), F.get(pieces, p)))
+        return F.concat(F.flatten(each), F.array(between(F.coalesce(F.get(own, F.size(own) - 1) + 1, F.lit(0)), F.size(pieces))))
+
+    return F.when(F.size(pieces) > 1, _let(at, made)).otherwise(pieces)
 
 
 def _piece(kind: Column | None, value: Column) -> Column:
@@ -288,29 +318,35 @@ def _mails(m: Column) -> Column:
     return F.filter(F.flatten(F.zip_with(F.transform(F.split(m, mail, -1), lambda t: _piece(None, t)), own, lambda t, x: F.array(t, x))), lambda x: x.isNotNull())
 
 
-def pseudonymise(docs: DataFrame, params: Params = Params(), column: str = "text", found: str = "found_") -> DataFrame:
-    """docs with the text rewritten, and an array column of (kind, value) for what was found."""
+def pseudonymise(docs: DataFrame, params: Params = Params(), column: str = "text", found: str | None = None) -> DataFrame:
+    """docs with the text rewritten; with ``found`` also an array column of (kind, value) for what was found.
+
+    Where docs has a column of that name, the array goes under ``free_name(docs, found)``.
+    """
     text = F.col(column).cast("string")
+    own = free_name(docs, found or "found_")
     # a text without a digit or an at sign has no match of any kind
     runs = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    step = docs.withColumn(found, F.coalesce(F.transform(runs, lambda m: F.array(_piece(None, m))), F.array().cast("array<array<struct<kind:string,value:string>>>")))
+    step = docs.withColumn(own, F.coalesce(F.transform(runs, lambda m: F.array(_piece(None, m))), F.array().cast(f"array<array<{PIECE}>>")))
     # mail, then values of a fixed shape, then loose ones; steps of their own, as the analyser follows lambdas only so deep
     cuts = [(PATTERNS["email"], _mails)]
     cuts += [("|".join(p for _, p in patterns), partial(_scanned, patterns=patterns, params=params)) for patterns in PASSES]
     for pattern, cut in cuts:
-        step = step.withColumn(found, _each_run(found, cut, pattern))
-    step = step.withColumn(found, F.transform(found, lambda pieces: F.transform(pieces, lambda x: _piece(x["kind"], _replaced(x, params)))))
-    values = F.filter(F.flatten(found), lambda f: f["kind"].isNotNull())
-    whole = F.zip_with(F.split(text, RUN, -1), F.col(found), lambda t, f: F.concat(t, F.coalesce(F.array_join(F.transform(f, lambda x: x["value"]), ""), F.lit(""))))
-    return step.withColumns({column: F.when(F.size(values) > 0, F.array_join(whole, "")).otherwise(F.col(column)), found: values})
+        step = step.withColumn(own, _each_run(own, cut, pattern))
+        step = step.withColumn(own, F.transform(own, _joined))
+    step = step.withColumn(own, F.transform(own, lambda pieces: F.transform(pieces, lambda x: _piece(x["kind"], _replaced(x, params)))))
+    values = F.filter(F.flatten(own), lambda f: f["kind"].isNotNull())
+    whole = F.zip_with(F.split(text, RUN, -1), F.col(own), lambda t, f: F.concat(t, F.coalesce(F.array_join(F.transform(f, lambda x: x["value"]), ""), F.lit(""))))
+    out = step.withColumns({column: F.when(F.size(values) > 0, F.array_join(whole, "")).otherwise(F.col(column)), own: values})
+    return out if found else out.drop(own)
 
 
 def report(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, rewritten text, and the number of values of each kind."""
-    out = pseudonymise(docs.select("doc_id", "text"), params)
+    out = pseudonymise(docs.select("doc_id", "text"), params, found="found")
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("found_", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
     return out.select("doc_id", "text", *counts)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import fresh_path, shared_dir, written
 
-__all__ = ["fresh_path", "shared_dir", "table", "texts", "written"]
+__all__ = ["free_name", "fresh_path", "shared_dir", "table", "texts", "written"]
 BATCH_BYTES = 1 << 20
 
 
@@ -21,3 +21,11 @@ def texts(df: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df bears it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
