@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evigraph.llm import decontaminate, ngram_join, packing, pii, quality_rules, vocab
-from evigraph.llm.runtime import fresh_path, table
+from evigraph.llm.runtime import free_name, fresh_path, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,11 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(docs)
+    found = free_name(docs, "found")
+    out = pii.pseudonymise(docs, found=found)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.size("found_") > 0, length).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(found) > 0, length).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
