@@ -4,20 +4,32 @@ Words are counted over the whole corpus. The commonest get ids of their own; the
 others share hashed buckets. A small network, written and trained in numpy,
 predicts a masked token from the tokens of a window on both sides: embeddings
 for each window position are summed, squashed, and fed to a two-level softmax
-(class, then token in the class). Training masks one position in ``mask_every``
-of every document a round, and the rounds of an epoch cover all positions; tasks train from the same start on their own documents and
-their weights are averaged by tokens. A document's score sums, over all its
-tokens, the log-probability of the token given both sides; a bucket's token
-adds the log of its word's share of the bucket's occurrences. The counts of all
-words stay a table, and the words of the texts outside the vocabulary are joined
-with it; a word that the corpus lacks counts as one occurrence.
-
-What tasks hand on grows with the corpus (word counts, one set of weights a
-task, words to be joined); what reaches the driver has a fixed size (the
-vocabulary, bucket sizes, one set of weights).
+(class, then token in the class).
+
+Training goes in rounds; a round masks one position in ``mask_every`` of every
+document, and the rounds of an epoch cover all positions. Documents are dealt to
+shards by a hash of id and text, so many that each holds about ``shard_tokens``
+tokens; every shard trains from the same weights in an order of its own hashes,
+and after each round the weights of all shards are averaged, weighted by tokens
+and summed in the order of shards. So neither files, partitions nor the order in
+which tasks end change the model.
+
+A document's score sums, over all its tokens, the log-probability of the token
+given both sides; a bucket's token adds the log of its word's share of the
+bucket's occurrences. The counts of all words stay a table, and the words of the
+texts outside the vocabulary are joined with it; a word that the corpus lacks
+counts as one occurrence.
+
+What tasks hand on grows with the corpus (word counts, ids, one set of weights a
+shard and round, words to be joined); what reaches the driver has a fixed size
+(the vocabulary, bucket sizes, one set of weights a round). The sizes of the
+vocabulary and the network are parameters.
 
 Defined results: a null or empty text has no tokens, log-probability 0 and a
-null mean; repeated rows score alike; an empty table gives no rows.
+null mean; a very long text is one row of its shard and scored whole; repeated
+rows score alike up to the rounding of 32-bit sums (some 1e-6 a token), and words that are equally common get their ids by hash (a
+tie); an empty table gives no rows; other columns are ignored, whatever they
+are called.
 """
 from __future__ import annotations
 
@@ -41,9 +53,11 @@ class Params:
     window: int = 2
     width: int = 24
     mask_every: int = 4
-    batch: int = 2048
-    rate: float = 0.08
+    batch: int = 8192
+    rate: float = 0.15
     epochs: int = 1
+    #: About so many tokens train together between two averages.
+    shard_tokens: int = 1 << 20
     seed: int = 11
 
     @property
@@ -173,25 +187,33 @@ def _hidden(weights: Weights, around: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
+def _edges(target: np.ndarray, params: Params) -> list[tuple[int, int, int]]:
+    """(class, first, end) of the classes that occur among sorted targets."""
+    each = params.tokens // params.classes
+    at = np.searchsorted(target, np.arange(params.classes + 1) * each)
+    return [(int(c), int(at[c]), int(at[c + 1])) for c in np.flatnonzero(np.diff(at))]
+
+
+def _by_value(ids: np.ndarray) -> np.ndarray:
+    """An order that sorts ids; short ones are sorted by radix."""
+    return np.argsort(ids.astype(np.uint16) if len(ids) and int(ids.max()) < 1 << 16 else ids, kind="stable")
+
+
 def log_probs(weights: Weights, around: np.ndarray, target: np.ndarray, params: Params) -> np.ndarray:
     """log P(target | window) of each position."""
     each = params.tokens // params.classes
     out = np.empty(len(target))
-    for at in range(0, len(target), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        own, h = target[part], _hidden(weights, around[:, part])
-        group = own // each
+    for at in range(0, len(target), 1 << 14):
+        order = at + _by_value(target[at : at + (1 << 14)])
+        own, h = target[order], _hidden(weights, around[:, order])
         z = h @ weights["class_w"].T + weights["class_b"]
         z -= z.max(axis=1, keepdims=True)
-        score = z[np.arange(len(own)), group] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(params.classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c] : edges[c + 1]]
-            z = h[rows] @ weights["token_w"][c].T + weights["token_b"][c]
+        score = z[np.arange(len(own)), own // each] - np.log(np.exp(z, out=z).sum(axis=1))
+        for c, a, b in _edges(own, params):
+            z = h[a:b] @ weights["token_w"][c].T + weights["token_b"][c]
             z -= z.max(axis=1, keepdims=True)
-            score[rows] += z[np.arange(len(rows)), own[rows] - c * each] - np.log(np.exp(z).sum(axis=1))
-        out[part] = score
+            score[a:b] += z[np.arange(b - a), own[a:b] - c * each] - np.log(np.exp(z, out=z).sum(axis=1))
+        out[order] = score
     return out
 
 
@@ -205,30 +227,29 @@ class Trainer:
         self.seen = 0
 
     def _update(self, key: str, grad: np.ndarray, at=...) -> None:
-        self.square[key][at] += grad * grad
-        self.weights[key][at] -= self.params.rate * grad / np.sqrt(self.square[key][at])
+        square = self.square[key][at] + grad * grad
+        self.square[key][at] = square
+        self.weights[key][at] -= self.params.rate * grad / np.sqrt(square)
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
+        order = _by_value(target)
+        around, target = around[:, order], target[order]
         w, each, n = self.weights, self.params.tokens // self.params.classes, len(target)
         h = _hidden(w, around)
-        group = target // each
         d = _softmax(h @ w["class_w"].T + w["class_b"])
-        d[np.arange(n), group] -= 1
+        d[np.arange(n), target // each] -= 1
         d /= n
         back = d @ w["class_w"]
         grads = [("class_w", d.T @ h, ...), ("class_b", d.sum(axis=0), ...)]
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(self.params.classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c] : edges[c + 1]]
-            d = _softmax(h[rows] @ w["token_w"][c].T + w["token_b"][c])
-            d[np.arange(len(rows)), target[rows] - c * each] -= 1
+        for c, a, b in _edges(target, self.params):
+            d = _softmax(h[a:b] @ w["token_w"][c].T + w["token_b"][c])
+            d[np.arange(b - a), target[a:b] - c * each] -= 1
             d /= n
-            back[rows] += d @ w["token_w"][c]
-            grads += [("token_w", d.T @ h[rows], c), ("token_b", d.sum(axis=0), c)]
+            back[a:b] += d @ w["token_w"][c]
+            grads += [("token_w", d.T @ h[a:b], c), ("token_b", d.sum(axis=0), c)]
         back *= 1 - h * h
         for p in range(len(around)):
-            order = np.argsort(around[p], kind="stable")
+            order = _by_value(around[p])
             ids = around[p][order]
             starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             grads.append(("embed", np.add.reduceat(back[order], starts, axis=0), (p, ids[starts])))
@@ -243,59 +264,137 @@ def _positions(first: np.ndarray, params: Params, turn: int) -> np.ndarray:
     return np.flatnonzero(inside % params.mask_every == turn % params.mask_every)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, params: Params) -> Weights:
-    """One round over all documents: tasks train on their own, and the weights are averaged by masked tokens."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((vocab, start(vocab, params)))
-    names = list(params.shapes)
+def _id_type(params: Params) -> str:
+    return "<u2" if params.tokens <= 1 << 16 else "<u4"
+
+
+def shard_count(vocab: Vocabulary, params: Params) -> int:
+    return max(1, -(-int(vocab.counts.sum()) // params.shard_tokens))
+
+
+def encoded(docs: DataFrame, vocab: Vocabulary, params: Params) -> DataFrame:
+    """(shard, place, ids) of every document with a word, written, a shard whole in one file and in the order of its places.
 
-    def flat(weights: Weights) -> np.ndarray:
-        return np.concatenate([weights[k].ravel() for k in names])
+    Both come from hashes of id and text, and their number from the count of all words.
+    """
+    shards = shard_count(vocab, params)
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    kind = _id_type(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, weights = shared.value
-        trainer = Trainer(weights, params)
         for batch in batches:
             for part in K.slices(batch.column("text")):
                 w = K.words(part, lower=True)
-                if not len(w.hashes):
-                    continue
-                ids = own.encode(w.hashes)
-                around = contexts(ids, w.first, params)
-                for turn in range(params.epochs * params.mask_every):
-                    at = _positions(w.first, params, turn)
-                    at = at[np.random.default_rng(params.seed + turn).permutation(len(at))]
-                    for k in range(0, len(at), params.batch):
-                        trainer.step(around[:, at[k : k + params.batch]], ids[at[k : k + params.batch]])
-        if trainer.seen:
-            values = flat(trainer.weights).astype(np.float64) * trainer.seen
-            yield from rows(TaskContext.get().partitionId() // 64, {c: (float(trainer.seen), values[c * CHUNK : (c + 1) * CHUNK]) for c in range(-(-len(values) // CHUNK))})
-
-    def rows(part: int, chunks: dict[int, tuple[float, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for c, (seen, own) in chunks.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([c], pa.int32()), "seen": [seen], "weights": pa.array([own.astype(np.float32).tobytes()], pa.binary())})
+                ids = shared.value.encode(w.hashes).astype(kind)
+                size = ids.itemsize
+                full = np.flatnonzero(np.diff(w.first))
+                # documents follow one another, so the rows' bytes are those of the slice
+                offsets = np.append(w.first[full], w.first[-1]) * size
+                raw = pa.Array.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+                own = batch.slice(part.first, part.last - part.first).take(pa.array(full))
+                yield pa.RecordBatch.from_arrays([own.column("shard"), own.column("place"), raw.cast(pa.binary())], ["shard", "place", "ids"])
+
+    text = F.col("text").cast("string")
+    key = F.xxhash64(F.col("doc_id").cast("string"), text)
+    rows = texts(docs).select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.xxhash64(key).alias("place"), text.alias("text"))
+    return written(rows.mapInArrow(run, "shard int, place long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "place", "ids"), "lm-ids")
+
+
+def train(ids: DataFrame, vocab: Vocabulary, params: Params) -> Weights:
+    """The network after all rounds over encoded documents."""
+    weights = start(vocab, params)
+    for turn in range(params.epochs * params.mask_every):
+        weights = _round(ids, weights, params, turn, shard_count(vocab, params))
+    return weights
+
+
+def _round(ids: DataFrame, weights: Weights, params: Params, turn: int, shards: int) -> Weights:
+    """Every shard trains on its masked positions of this round; the weights are averaged by tokens."""
+    shared = ids.sparkSession.sparkContext.broadcast(weights)
+    names = list(params.shapes)
+    kind = _id_type(params)
+
+    def flat(trained: Weights) -> np.ndarray:
+        return np.concatenate([trained[k].ravel() for k in names])
+
+    def steps(trainer: Trainer, held: list[np.ndarray], number: int) -> None:
+        own = np.concatenate(held).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum([len(h) for h in held])])
+        around = contexts(own, first, params)
+        at = _positions(first, params, turn)
+        at = at[np.random.default_rng((params.seed, turn, number)).permutation(len(at))]
+        for k in range(0, len(at), params.batch):
+            trainer.step(around[:, at[k : k + params.batch]], own[at[k : k + params.batch]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = trainer = None
+        held: list[np.ndarray] = []
+        size = number = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                steps(trainer, held, number)
+            if trainer is not None and trainer.seen:
+                yield from rows(shard, flat(trainer.weights).astype(np.float64) * trainer.seen, float(trainer.seen))
+
+        for batch in batches:
+            for own, raw in zip(batch.column("shard").to_pylist(), batch.column("ids")):
+                if own != shard:
+                    yield from done()
+                    shard, trainer, held, size, number = own, Trainer(shared.value, params), [], 0, 0
+                held.append(np.frombuffer(raw.as_buffer(), kind))
+                size += len(held[-1])
+                if size >= params.mask_every * params.batch:
+                    steps(trainer, held, number)
+                    held, size, number = [], 0, number + 1
+        yield from done()
+
+    def rows(shard: int, values: np.ndarray, seen: float) -> Iterator[pa.RecordBatch]:
+        for c in range(-(-len(values) // CHUNK)):
+            own = values[c * CHUNK : (c + 1) * CHUNK].astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "chunk": pa.array([c], pa.int32()), "seen": [seen], "weights": pa.array([own], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, tuple[float, np.ndarray]] = {}
+        """Sums of equal (shard // 64, chunk), which follow one another."""
+        key, seen, total = None, 0.0, np.zeros(0)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"shard": pa.array([key[0]], pa.int32()), "chunk": pa.array([key[1]], pa.int32()), "seen": [seen], "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
         for batch in batches:
-            for c, n, raw in zip(*(batch.column(x).to_pylist() for x in ("chunk", "seen", "weights"))):
+            for s, c, n, raw in zip(*(batch.column(x).to_pylist() for x in ("shard", "chunk", "seen", "weights"))):
                 own = np.frombuffer(raw, np.float32).astype(np.float64)
-                seen, total = totals.get(c, (0.0, np.zeros(len(own))))
-                totals[c] = (seen + n, total + own)
-        yield from rows(0, totals)
-
-    schema = "part int, chunk int, seen double, weights binary"
-    partial = _texts(docs).select("text").mapInArrow(run, schema)
-    # sums of 64 tasks, then of all; a task holds a few chunks, and the driver one set of weights
-    sums = {r["chunk"]: r for r in partial.repartition("part", "chunk").mapInArrow(add, schema).repartition("chunk").mapInArrow(add, schema).collect()}
-    if not sums:
-        return start(vocab, params)
-    mean = np.concatenate([np.frombuffer(sums[c]["weights"], np.float32).astype(np.float64) / sums[c]["seen"] for c in sorted(sums)])
+                if key != (s // 64, c):
+                    if key is not None:
+                        yield out()
+                    key, seen, total = (s // 64, c), 0.0, np.zeros(len(own))
+                seen, total = seen + n, total + own
+        if key is not None:
+            yield out()
+
+    schema = "shard int, chunk int, seen double, weights binary"
+    sums = ids.select("shard", "ids").mapInArrow(run, schema)
+    # sums of 64 shards, each in the order of shards, until one sum a chunk is left; the driver holds one set of weights
+    left = shards
+    while True:
+        group = F.floor(F.col("shard") / 64).cast("int")
+        sums = sums.repartition(group, "chunk").sortWithinPartitions(group, "chunk", "shard").mapInArrow(add, schema)
+        left = -(-left // 64)
+        if left == 1:
+            break
+    parts: dict[int, tuple[float, np.ndarray]] = {}
+    for r in sums.orderBy("chunk", "shard").collect():
+        own = np.frombuffer(r["weights"], np.float32).astype(np.float64)
+        seen, total = parts.get(r["chunk"], (0.0, np.zeros(len(own))))
+        parts[r["chunk"]] = (seen + r["seen"], total + own)
+    if not parts:
+        return weights
+    mean = np.concatenate([total / seen for _, (seen, total) in sorted(parts.items())])
     out, at = {}, 0
     for k, shape in params.shapes.items():
-        size = int(np.prod(shape))
-        out[k] = mean[at : at + size].reshape(shape).astype(np.float32)
-        at += size
+        n = int(np.prod(shape))
+        out[k] = mean[at : at + n].reshape(shape).astype(np.float32)
+        at += n
     return out
 
 
@@ -304,7 +403,7 @@ def fit(docs: DataFrame, params: Params = Params()) -> tuple[Vocabulary, Weights
     path = fresh_path(docs.sparkSession, "lm-words")
     word_counts(docs).write.option("compression", "zstd").parquet(path)
     vocab = vocabulary(docs.sparkSession, path, params)
-    return vocab, train(docs, vocab, params)
+    return vocab, train(encoded(docs, vocab, params), vocab, params)
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, Weights], params: Params = Params()) -> DataFrame:
