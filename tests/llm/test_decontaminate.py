@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import numpy as np
+import pytest
 from conftest import ODD, docs_frame
 from hypothesis import HealthCheck, given, settings, strategies as st
 
@@ -90,10 +92,38 @@ def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
 
 
-def test_columns_of_reserved_names_pass_through(spark):
-    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
-    docs = docs_frame(spark, ["plain words", "x " + " ".join(f"w{i}" for i in range(12)) + " y"]).selectExpr("*", *(f"doc_id + {k} as {x}" for k, x in enumerate(sorted(D.RESERVED))))
-    kept, cut = D.remove_documents(docs, bench), D.remove_spans(docs, bench)
+@pytest.mark.parametrize("chunk", [5, 10, 35])
+def test_chunks_meet(spark, chunk):
+    items = [(1, PASSAGE), (2, "short one É"), (3, "a b")]
+    rng = np.random.default_rng(3)
+    texts = [" ".join([*rng.choice(["a", "b", "short", "one", "é"], int(n)), *word_list(PASSAGE)[: 10 + int(n) % 7], *rng.choice(["a", "b"], 7)]) for n in range(12)]
+    rows = D.contamination(docs_frame(spark, texts), bench(spark, items), D.Params(chunk=chunk)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == [brute(t, items) for t in texts]
+
+
+def test_time_in_proportion_to_a_text(spark):
+    item = bench(spark, [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")])
+    seconds = {}
+    for n in (100_000, 100_000, 400_000):
+        docs = docs_frame(spark, [" ".join(f"w{i % 5000}" for i in range(n))])
+        began = time.time()
+        (row,) = D.contamination(docs, item).collect()
+        seconds[n] = time.time() - began
+        assert row.n_hit == 12 * (n // 5000)
+    assert seconds[400_000] < 4.5 * seconds[100_000] + 2, seconds
+    began = time.time()
+    (row,) = D.remove_spans(docs, item).collect()
+    assert row.n_chars == len(row.text) and "w10 w11" not in row.text and time.time() - began < 4.5 * seconds[100_000] + 20
+
+
+def test_columns_of_any_name_pass_through(spark):
+    item = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
+    names = ("text_key", "doc_id_", "text_key_", "row_key_", "spans_", "items_", "own", "between", "own_", "w", "at", "h", "c", "base", "normal_", "spaced_", "a.b")
+    docs = docs_frame(spark, ["plain words", "x " + " ".join(f"w{i}" for i in range(12)) + " y"]).selectExpr("*", *(f"doc_id + {k} as `{x}`" for k, x in enumerate(names)))
+    kept, cut = D.remove_documents(docs, item), D.remove_spans(docs, item)
     assert kept.columns == cut.columns == docs.columns
     assert kept.collect() == docs.where("doc_id = 0").collect()
-    assert [r.text.split() for r in cut.orderBy("doc_id").collect()] == [["plain", "words"], ["x", "y"]] and cut.agg({"spans_": "sum"}).first()[0] == docs.agg({"spans_": "sum"}).first()[0]
+    rest = [x for x in docs.columns if x not in ("text", "n_chars")]
+    both = [sorted(tuple(r[x] for x in rest) for r in df.collect()) for df in (cut, docs)]
+    assert [r.text.split() for r in cut.orderBy("doc_id").collect()] == [["plain", "words"], ["x", "y"]] and both[0] == both[1]
+    assert D.contamination(docs, item).count() == 2
