@@ -1,26 +1,44 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a DOM (tolerant of unclosed and misnested tags). Parts
-that by their element or class are no article (navigation, forms, notices,
-adverts, comments and so on) are set aside. Every remaining node gets its
-composite text density: characters a tag, lowered by the share of linked
+A page is parsed into a DOM (tolerant of unclosed and misnested tags). Every node
+gets its composite text density: characters a tag, lowered by the share of linked
 characters and linked tags against the body's. The node whose children's
-densities sum highest is the core; the lowest density on its path to the body
-is the threshold, and in every subtree that reaches it the node of highest sum
-is kept whole. The outermost article or main element around the core is kept
-whole as well; where there is none, so is the body, but for blocks of which half
-the characters or more are links.
+densities sum highest is the core; the lowest density on its path to the body is
+the threshold.
+
+Density decides what is kept. The core is kept whole, and so is every block
+beside it, or beside an ancestor of it, whose density reaches the threshold.
+A block below the threshold is kept
+* inside the article or main element that holds the core: density tells which
+  of several such elements that is, but not headings from notes inside it;
+* if it is unlinked text between two kept blocks, or a heading before the core;
+* if less than half of it is linked and its density reaches an eighth of the
+  core's (sparse sections, as lists of short items).
+What density cannot judge, text as dense as an article's, is set aside by its
+element or class before: forms, notices, adverts, readers' comments and the
+like; and parts of a page that name themselves, as nav and footer do.
+
+The density formula departs from the usual one in two places. A page without a
+link gives the logarithm there a base of 1, a division by zero, so 1 is added to
+the base; and a node with one tag and a few linked characters gives a negative
+gain, so it is kept at that of an unlinked one. Text-level elements (b, br, links) belong
+to the block around them.
 
 Blocks are the runs of text between block-level elements; white space in a
-block becomes one space and blocks are joined by an empty line. Defined results:
-null or empty html, or a page without text, gives an empty text; repeated rows
-give equal results; nesting depth is unbounded (no recursion).
+block becomes one space and blocks are joined by an empty line. The time for a
+page grows with its length, whatever its markup: no part of it is looked at again
+for each tag. Defined results: null or empty html, or a page without text, gives
+an empty text; very long and deeply nested pages are taken whole (no recursion);
+of nodes with equal sums the first is the core (a tie); repeated rows give equal
+results; an empty table gives no rows; other columns are ignored, whatever they
+are called.
 """
 from __future__ import annotations
 
 import html as _html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,14 +74,86 @@ CLOSES = {
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A block without many links belongs to the page's text from this part of the core's density on.
+SPARSE = 8
 SCOPE = frozenset("table td th caption html button object template".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S)
+_END = re.compile(r"/([a-zA-Z][^\s/>]*)[^>]*>?")
+_NAME = re.compile(r"[^\s/>]*")
+_SHORT = re.compile(r"([a-zA-Z][^\s/<>]*)([^<>]*)>")
+_SPECIAL = re.compile(r"[>\"']")
 _MARK = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+class _Tags:
+    """The tags of a page from left to right, each as (start, end, name, attributes): a name of "/x" is an end tag, an empty one no element.
+
+    A quote that is never closed ends the tag at the next bracket. What a failed
+    look for a tag's end has passed is remembered, so no look passes it again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {q: page.rfind(q) for q in ">\"'"}
+        self.dead: set[int] = set()
+        #: The last name and the last plain stretch looked at: the ends for every place within.
+        self.name, self.plain = (0, 0), (0, -1)
+
+    def _name_end(self, at: int) -> int:
+        if not self.name[0] <= at < self.name[1]:
+            self.name = (at, _NAME.match(self.page, at).end())
+        return self.name[1]
+
+    def _special(self, at: int) -> int:
+        """The next quote or closing bracket."""
+        if not self.plain[0] <= at <= self.plain[1]:
+            m = _SPECIAL.search(self.page, at)
+            self.plain = (at, m.start() if m else len(self.page))
+        return self.plain[1]
+
+    def _end(self, at: int) -> int:
+        """Where the attributes from a place on end (the bracket), or -1."""
+        passed = []
+        while at <= self.last[">"]:
+            here = self._special(at)
+            if here in self.dead or here >= len(self.page):
+                break
+            if self.page[here] == ">":
+                return here
+            passed.append(here)
+            if here >= self.last[self.page[here]]:
+                break
+            at = self.page.find(self.page[here], here + 1) + 1
+        self.dead.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            mark = page[at + 1 : at + 2]
+            if mark == "/" and (m := _END.match(page, at + 1)):
+                return at, m.end(), "/" + m[1].lower(), ""
+            if mark in ("!", "?"):
+                close = next((c for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(o, at)), ">")
+                end = page.find(close, at + (4 if close == "-->" else 2))
+                return at, len(page) if end < 0 else end + len(close), "", ""
+            if mark.isascii() and mark.isalpha():
+                if at > self.last[">"]:
+                    return None
+                name = self._name_end(at + 1)
+                end = self._end(name)
+                if end >= 0:
+                    return at, end + 1, page[at + 1 : name].lower(), page[name:end]
+                if m := _SHORT.match(page, at + 1):
+                    return at, m.end(), m[1].lower(), m[2]
+            at += 1
+        return None
+
+
 class _Dom:
     """Nodes in document order: name, parent, and whether set aside; text runs as (node, text)."""
 
@@ -105,80 +195,69 @@ def parse(page: str) -> _Dom:
     dom = _Dom()
     stack = [0]
     names, runs = dom.name, dom.runs
-    open_count: dict[str, int] = {}
+    #: For each name the places of its open elements on the stack, lowest first.
+    places: dict[str, list[int]] = {}
 
     def pop_to(at: int) -> None:
-        for node in stack[at:]:
-            open_count[names[node]] -= 1
+        for node in reversed(stack[at:]):
+            places[names[node]].pop()
         del stack[at:]
 
     def close(targets: tuple[str, ...], stop) -> None:
-        if not any(open_count.get(t) for t in targets):
-            return
-        low = None
-        for k in range(len(stack) - 1, 0, -1):
-            if names[stack[k]] in targets:
-                low = k
-            elif names[stack[k]] in stop:
-                break
-        if low is not None:
-            pop_to(low)
+        """End the lowest open target above the last element that stops the look."""
+        if any(places.get(t) for t in targets):
+            floor = max((places[x][-1] for x in stop if places.get(x)), default=0)
+            found = [own[k] for t in targets if (own := places.get(t)) and (k := bisect_right(own, floor)) < len(own)]
+            if found:
+                pop_to(min(found))
 
-    at, lowered = 0, ""
+    tags = _Tags(page)
+    at, lowered = 0, None
     while True:
-        m = _TAG.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             if at < len(page):
                 runs.append((stack[-1], page[at:]))
             return dom
-        if m.start() > at:
-            runs.append((stack[-1], page[at : m.start()]))
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
+        if tag[0] > at:
+            runs.append((stack[-1], page[at : tag[0]]))
+        _, at, name, attributes = tag
+        if name.startswith("/"):
+            name = name[1:]
             if name == "br":
                 runs.append((stack[-1], " "))
-            elif open_count.get(name):
-                k = len(stack) - 1
-                while names[stack[k]] != name:
-                    k -= 1
-                pop_to(k)
+            elif places.get(name):
+                pop_to(places[name][-1])
             elif name == "p":
                 dom.add("p", stack[-1], dom.aside[stack[-1]])
-        elif m[2] or m[4]:  # the second form: a quote that is never closed
-            name, attributes = (m[2] or m[4]).lower(), m[3] if m[2] else m[5]
+        elif name:
             if name in P_CLOSERS:
                 close(("p",), SCOPE)
             if name in CLOSES:
                 close(*CLOSES[name])
             here = stack[-1]
-            aside = dom.aside[here] or _is_aside(name, attributes, bool(open_count.get("article") or open_count.get("main")))
-            if name == "body" and open_count.get("body") or name == "html" and open_count.get("html"):
+            aside = dom.aside[here] or _is_aside(name, attributes, bool(places.get("article") or places.get("main")))
+            if name in ("body", "html") and places.get(name):
                 continue
-            if name == "body" and open_count.get("head"):
-                k = len(stack) - 1
-                while names[stack[k]] != "head":
-                    k -= 1
-                pop_to(k)
+            if name == "body" and places.get("head"):
+                pop_to(places["head"][-1])
                 aside, here = False, stack[-1]
             node = dom.add(name, here, aside)
             if name in VOID or attributes.endswith("/") and name not in RAW and name in ("svg", "path"):
                 if name in ("br", "hr"):
                     runs.append((node, " "))
             elif name in RAW:
-                lowered = lowered or page.lower()
-                end = lowered.find(f"</{name}", at) if len(lowered) == len(page) else -1
-                if len(lowered) != len(page):
-                    found = re.compile(rf"</{name}", re.I).search(page, at)
-                    end = found.start() if found else -1
+                # A-Z only, so that places stay
+                lowered = page.translate(_LOW) if lowered is None else lowered
+                end = lowered.find(f"</{name}", at)
                 if end < 0:
                     end = len(page)
                 runs.append((node, page[at:end] if name in ("textarea", "title") else ""))
                 gt = page.find(">", end)
                 at = len(page) if gt < 0 else gt + 1
             else:
+                places.setdefault(name, []).append(len(stack))
                 stack.append(node)
-                open_count[name] = open_count.get(name, 0) + 1
 
 
 def _density(c: int, lc: int, t: int, lt: int, share: float) -> float:
@@ -187,38 +266,33 @@ def _density(c: int, lc: int, t: int, lt: int, share: float) -> float:
     return c / t * gain / (1.0 + math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e)))
 
 
-def _core(dom: _Dom, texts: list[tuple[int, str]]) -> list[bool]:
-    """Which nodes are kept: those in a subtree that composite text density selects."""
+def densities(dom: _Dom, texts: list[tuple[int, str]]) -> tuple[list[float], list[float], list[int], list[int], list[bool]]:
+    """For every node its density, the sum of its children's, its characters, the linked ones, and whether it is text-level."""
     n = len(dom.name)
     chars, linked, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link, own = [False] * n, [0.0] * n
+    in_link, direct = [False] * n, [0] * n
     for k in range(1, n):
         in_link[k] = in_link[dom.parent[k]] or dom.name[k] == "a"
-    direct = [0] * n
     for k, t in texts:
-        size = len(t.strip())
-        direct[k] += size
+        direct[k] += len(t.strip())
     for k in range(n - 1, -1, -1):
         chars[k] += direct[k]
         if in_link[k]:
             linked[k] += direct[k]
-        if k:
+        if k and not dom.aside[k]:
             p = dom.parent[k]
-            if not dom.aside[k]:
-                chars[p] += chars[k]
-                linked[p] += linked[k]
-                tags[p] += tags[k] + 1
-                link_tags[p] += link_tags[k] + (dom.name[k] == "a")
-    body = next((k for k in range(n) if dom.name[k] == "body"), 0)
-    # an article element with most of the body's text stands for the body
-    body = next((k for k in range(n) if dom.name[k] in ("article", "main") and not dom.aside[k] and 2 * chars[k] > chars[body]), body)
+            chars[p] += chars[k]
+            linked[p] += linked[k]
+            tags[p] += tags[k] + 1
+            link_tags[p] += link_tags[k] + (dom.name[k] == "a")
+    body = _body(dom)
     share = linked[body] / max(chars[body], 1)
-    density, total, leaf = [0.0] * n, [0.0] * n, [True] * n
     # text-level elements belong to the block around them, unless they hold blocks
     text_level = [name in INLINE for name in dom.name]
     for k in range(n - 1, 0, -1):
         if not text_level[k]:
             text_level[dom.parent[k]] = False
+    density, total, leaf = [0.0] * n, [0.0] * n, [True] * n
     for k in range(n - 1, -1, -1):
         if dom.aside[k] or not chars[k]:
             continue
@@ -231,6 +305,17 @@ def _core(dom: _Dom, texts: list[tuple[int, str]]) -> list[bool]:
             p = dom.parent[k]
             total[p] += density[k]
             leaf[p] = False
+    return density, total, chars, linked, text_level
+
+
+def _body(dom: _Dom) -> int:
+    return next((k for k, name in enumerate(dom.name) if name == "body"), 0)
+
+
+def _core(dom: _Dom, texts: list[tuple[int, str]]) -> list[bool]:
+    """Which nodes are kept."""
+    n, body = len(dom.name), _body(dom)
+    density, total, chars, linked, text_level = densities(dom, texts)
     keep = [False] * n
     inside = [False] * n
     for k in range(body, n):
@@ -238,38 +323,36 @@ def _core(dom: _Dom, texts: list[tuple[int, str]]) -> list[bool]:
     best = max((k for k in range(body, n) if inside[k] and chars[k] and not dom.aside[k] and not text_level[k]), key=lambda k: (total[k], -k), default=-1)
     if best < 0:
         return keep
-    threshold, k = density[best], best
-    while k != body:
-        k = dom.parent[k]
-        threshold = min(threshold, density[k])
-    # the node of highest sum in each subtree, children after parents in document order
-    top = list(range(n))
-    for k in range(n - 1, 0, -1):
-        p = dom.parent[k]
-        if not dom.aside[k] and chars[k] and not text_level[k] and total[top[k]] > total[top[p]]:
-            top[p] = top[k]
-    chosen, reached = [False] * n, [False] * n
+    path = [best]
+    while path[-1] != body:
+        path.append(dom.parent[path[-1]])
+    threshold = min(density[k] for k in path)
+    # the outermost article or main around the core is kept whole, else the core
+    named = next((k for k in reversed(path) if dom.name[k] in ("article", "main")), None)
+    root = best if named is None else named
+    above = set(path[path.index(root) + 1 :])
+    heading = [name in HEADINGS for name in dom.name]
+    for k in range(n - 1, body, -1):
+        heading[dom.parent[k]] |= heading[k]
+    beside = [k for k in range(body + 1, n) if dom.parent[k] in above and k not in above and k != root and chars[k] and not dom.aside[k]]
+
+    def reaches(k: int) -> bool:
+        if named is not None or density[k] >= threshold - 1e-9:
+            return density[k] >= threshold - 1e-9
+        free = 2 * linked[k] < chars[k]
+        return free and (text_level[k] or density[k] >= density[best] / SPARSE or k < root and heading[k])
+
+    kept = {k for k in beside if reaches(k)}
+    if named is None and kept:
+        low, high = min(*kept, root), max(*kept, root)
+        kept |= {k for k in beside if low < k < high and not linked[k]}
     for k in range(body, n):
-        open_ = k == body or inside[k] and reached[dom.parent[k]]
-        if open_ and not dom.aside[k] and chars[k] and density[k] >= threshold - 1e-9:
-            reached[k] = True
-            chosen[top[k]] = True
-    # headings, lists and sparse sections beside the core belong to its article
-    k, whole = best, -1
-    while k > 0:
-        if dom.name[k] in ("article", "main"):
-            whole = k
-        k = dom.parent[k]
-    if whole >= 0:
-        chosen[whole] = True
-    inherited, whole_body = [False] * n, [False] * n
-    page = next((k for k in range(n) if dom.name[k] == "body"), 0)
-    for k in range(n):
-        if whole < 0:
-            around = k == page or k > 0 and whole_body[dom.parent[k]]
-            whole_body[k] = around and not dom.aside[k] and (k == page or text_level[k] or 2 * linked[k] < chars[k])
-        inherited[k] = not dom.aside[k] and (chosen[k] or k > 0 and inherited[dom.parent[k]])
-        keep[k] = inherited[k] or whole_body[k]
+        if k == root or k in kept:
+            keep[k] = True
+        elif k in above:  # its own text, in no block
+            keep[k] = named is None
+        elif inside[k] and dom.parent[k] not in above:
+            keep[k] = keep[dom.parent[k]]
     return keep
 
 

@@ -1,3 +1,7 @@
+import math
+import time
+from xml.etree import ElementTree
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -71,3 +75,87 @@ def test_wrapped_and_several_sections(page):
     got = H.extract(page)
     assert got.startswith("Headline\n\n") and all(f"long text {i} " in got for i in range(10)) and "Home" not in got
     assert all(f"item {i:02} of" in got for i in range(12)) or SPARSE not in page
+
+
+# pages that name nothing: no article element, no telling class
+def _long(k, n):
+    return "".join(f"<p>{f'sentence {k} {i} of a long paragraph ' * 8}</p>" for i in range(n))
+
+
+LINKS = "<div>" + "".join(f"<div><a href='/{i}'>Go to {i}</a></div>" for i in range(9)) + "</div>"
+PLAIN_PAGES = [
+    (f"<body><div>{LINKS}</div><h1>Head</h1><div>{_long(1, 6)}</div><div>Short line below</div></body>", ["Head", "sentence 1 5"], ["Go to 3", "Short line below"]),
+    (f"<body><div><span>Site</span> <a href='/'>Home</a></div><div><div><h1>Head</h1></div><div>{_long(2, 5)}</div><div><div>1</div><div>2</div><div>3</div></div></div>{LINKS}</body>", ["Head", "sentence 2 4"], ["Go to 3", "Home", "1\n\n2"]),
+    (f"<body><div>Welcome back</div><div><h2>Part</h2>{_long(3, 4)}</div><div><h2>Other part</h2>{_long(4, 4)}</div><div>Terms</div>{LINKS}</body>", ["Part", "sentence 3 3", "Other part", "sentence 4 3"], ["Go to 3", "Welcome back", "Terms"]),
+    (f"<body><article><p>Teaser one</p></article><article><h1>Head</h1>{_long(5, 4)}<p>Short end.</p></article><article><p>Teaser two</p></article>{LINKS}</body>", ["Head", "sentence 5 3", "Short end."], ["Go to 3", "Teaser"]),
+]
+
+
+@pytest.mark.parametrize("page,inside,outside", PLAIN_PAGES)
+def test_density_decides(page, inside, outside, monkeypatch):
+    got = H.extract(page)
+    assert all(x in got for x in inside) and not any(x in got for x in outside), got
+    monkeypatch.setattr(H, "_core", lambda dom, texts: [True] * len(dom.name))
+    assert any(x in H.extract(page) for x in outside)
+
+
+def own_densities(page):
+    """Densities of a well-formed page's elements in document order, by recursion over another parser's tree."""
+    root = ElementTree.fromstring(page)
+    out = []
+
+    def measure(e, linked):
+        linked = linked or e.tag == "a"
+        c = len((e.text or "").strip())
+        lc, t, lt = c * linked, 0, 0
+        place = len(out)
+        out.append(None)
+        for child in e:
+            sub = measure(child, linked)
+            tail = len((child.tail or "").strip())
+            c, lc, t, lt = c + sub[0] + tail, lc + sub[1] + tail * linked, t + 1 + sub[2], lt + (child.tag == "a") + sub[3]
+        out[place] = (e.tag, c, lc, t, lt)
+        return c, lc, t, lt
+
+    total, link, _, _ = measure(root, False)
+    share = link / total
+
+    def one(c, lc, t, lt):
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        gain = math.log(max(c / max(lc, 1) * t / max(lt, 1), 1) + 1)
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        return c / t * gain / (1 + math.log(base))
+
+    return [(tag, one(*rest)) for tag, *rest in out]
+
+
+@pytest.mark.parametrize("page", [p.replace("'", '"') for p, _, _ in PLAIN_PAGES])
+def test_densities_against_another_tree(page):
+    dom = H.parse(page)
+    density = H.densities(dom, dom.runs)[0]
+    want = own_densities(page)
+    assert dom.name[1:] == [tag for tag, _ in want]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, (_, b) in zip(density[1:], want))
+
+
+BROKEN = {
+    "quotes": lambda n: '<a "' * n, "two quotes": lambda n: "<a \"' " * n + ">", "open": lambda n: "<b>" * n, "items": lambda n: "<b>" * n + "<li>" * n, "names": lambda n: '<b<b"' * n, "cells": lambda n: "<table><tr>" + "<td>" * n,
+    "ends": lambda n: "<div>" * n + "</p>" * n, "lists": lambda n: "<ul><li>x" * n, "brackets": lambda n: "<" * n, "attributes": lambda n: "<a " + "class=" * n + ">", "mixed": lambda n: "<a '<b \"<c >" * n,
+}
+
+
+@pytest.mark.parametrize("name", sorted(BROKEN))
+def test_time_in_proportion_to_a_page(name):
+    seconds = {}
+    for n in (25_000, 100_000):
+        began = time.time()
+        H.extract(BROKEN[name](n))
+        seconds[n] = time.time() - began
+    assert seconds[100_000] < 8 * seconds[25_000] + 0.5, seconds
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "http://a", "<p>x</p>", "mine", 7)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in H.main_text(df).collect()] == [(1, "http://a", "x", 1)]
