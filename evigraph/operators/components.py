@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import written
+from ..runtime import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,9 +26,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the edges (a, b): the least node that it reaches."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    seen = None
+    seen, scratch = None, Scratch()
     for _ in range(rounds):
-        edges = written(_star(_star(edges, True), False), "components")
+        edges = scratch.written(_star(_star(edges, True), False), "components")
+        scratch.clear(keep=1)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset a folder of this session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset and all run on this machine a folder of this session."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.evigraph.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="evigraph-shared-")
         spark.conf.set("spark.evigraph.shared.dir", found)
     return found.rstrip("/")
@@ -31,6 +33,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written copies that are removed once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(df.sparkSession, name)
+        self.paths.append((df.sparkSession, path))
+        df.write.option("compression", "zstd").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def clear(self, keep: int = 0) -> None:
+        """Remove all copies but the last ``keep``."""
+        while len(self.paths) > keep:
+            remove(*self.paths.pop(0))
+
+
 def listing(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; none if it does not exist."""
     jvm = spark.sparkContext._jvm
