@@ -161,15 +161,17 @@ def start(vocab: Vocabulary, params: Params) -> Weights:
     return out
 
 
-def contexts(ids: np.ndarray, first: np.ndarray, params: Params) -> np.ndarray:
-    """For every token the ids at the window's positions; beyond a document's ends stands the id ``tokens``."""
-    n, w = len(ids), params.window
+def contexts(ids: np.ndarray, first: np.ndarray, params: Params, at: np.ndarray | None = None) -> np.ndarray:
+    """For every token, or those at the given places, the ids at the window's positions; beyond a document's ends stands the id ``tokens``."""
+    w = params.window
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = np.full((2 * w, n), params.tokens, np.int32)
+    at = np.arange(len(ids)) if at is None else at
+    low, high = first[:-1][row[at]], first[1:][row[at]]
+    out = np.full((2 * w, len(at)), params.tokens, np.int32)
     for p, shift in enumerate([s for s in range(-w, w + 1) if s]):
-        at = np.arange(n) + shift
-        inside = (at >= first[row]) & (at < first[row + 1])
-        out[p, inside] = ids[at[inside]]
+        place = at + shift
+        inside = (place >= low) & (place < high)
+        out[p, inside] = ids[place[inside]]
     return out
 
 
@@ -227,34 +229,36 @@ class Trainer:
         self.seen = 0
 
     def _update(self, key: str, grad: np.ndarray, at=...) -> None:
-        square = self.square[key][at] + grad * grad
-        self.square[key][at] = square
-        self.weights[key][at] -= self.params.rate * grad / np.sqrt(square)
+        square, weights = self.square[key][at], self.weights[key][at]
+        square += grad * grad
+        weights -= self.params.rate * grad / np.sqrt(square)
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         order = _by_value(target)
         around, target = around[:, order], target[order]
-        w, each, n = self.weights, self.params.tokens // self.params.classes, len(target)
+        w, p, n = self.weights, self.params, len(target)
+        each = p.tokens // p.classes
         h = _hidden(w, around)
         d = _softmax(h @ w["class_w"].T + w["class_b"])
         d[np.arange(n), target // each] -= 1
         d /= n
         back = d @ w["class_w"]
-        grads = [("class_w", d.T @ h, ...), ("class_b", d.sum(axis=0), ...)]
-        for c, a, b in _edges(target, self.params):
+        class_w, class_b = d.T @ h, d.sum(axis=0)
+        token_w, token_b = np.zeros_like(w["token_w"]), np.zeros_like(w["token_b"])
+        for c, a, b in _edges(target, p):
             d = _softmax(h[a:b] @ w["token_w"][c].T + w["token_b"][c])
             d[np.arange(b - a), target[a:b] - c * each] -= 1
             d /= n
             back[a:b] += d @ w["token_w"][c]
-            grads += [("token_w", d.T @ h[a:b], c), ("token_b", d.sum(axis=0), c)]
-        back *= 1 - h * h
-        for p in range(len(around)):
-            order = _by_value(around[p])
-            ids = around[p][order]
-            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            grads.append(("embed", np.add.reduceat(back[order], starts, axis=0), (p, ids[starts])))
-        for key, grad, at in grads:
-            self._update(key, grad, at)
+            token_w[c], token_b[c] = d.T @ h[a:b], d.sum(axis=0)
+        back = np.ascontiguousarray((back * (1 - h * h)).T)
+        for place, ids in enumerate(around):
+            grad = np.empty((p.width, p.tokens + 1), h.dtype)
+            for unit in range(p.width):
+                grad[unit] = np.bincount(ids, back[unit], p.tokens + 1)
+            self._update("embed", grad.T, place)
+        for key, grad in (("class_w", class_w), ("class_b", class_b), ("token_w", token_w), ("token_b", token_b)):
+            self._update(key, grad)
         self.seen += n
 
 
@@ -320,11 +324,11 @@ def _round(ids: DataFrame, weights: Weights, params: Params, turn: int, shards:
     def steps(trainer: Trainer, held: list[np.ndarray], number: int) -> None:
         own = np.concatenate(held).astype(np.int64)
         first = np.concatenate([[0], np.cumsum([len(h) for h in held])])
-        around = contexts(own, first, params)
         at = _positions(first, params, turn)
         at = at[np.random.default_rng((params.seed, turn, number)).permutation(len(at))]
         for k in range(0, len(at), params.batch):
-            trainer.step(around[:, at[k : k + params.batch]], own[at[k : k + params.batch]])
+            place = at[k : k + params.batch]
+            trainer.step(contexts(own, first, params, place), own[place])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = trainer = None
