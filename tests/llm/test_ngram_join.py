@@ -51,7 +51,7 @@ def family(rng, n, words=80, edits=6):
     return out
 
 
-@pytest.mark.parametrize("kw", [{}, {"large": 4, "block": 3}, {"large": 2, "block": 1000, "fragments": 1}])
+@pytest.mark.parametrize("kw", [{}, {"large": 4, "block": 3}, {"large": 2, "block": 1000, "fragments": 1}, {"hot": 1, "hot_times": 0, "fragments": 7}])
 def test_families_against_every_pair(spark, kw):
     rng = np.random.default_rng(4)
     texts = [t for t in ODD if len(t or "") < 5000] + family(rng, 25) + family(rng, 25, 40, 4) + family(rng, 6, 9, 2)
@@ -84,6 +84,54 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in N.keep_one(docs_frame(spark, ["a", "a"], ids=[1, 1])).collect()) == [1]
 
 
+def test_keep_one_judges_every_text_of_a_repeated_id(spark):
+    a, b = "one two three four five six", "red green blue white black grey"
+    docs = docs_frame(spark, [a, b, a, b, None, "", a + " ", None], ids=[1, 1, 1, 0, 1, 1, None, 1])
+    kept = N.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text or "-") for r in kept.collect()) == sorted([("1", a), ("0", b), ("1", "-"), ("1", "-"), ("None", a + " ")])
+
+
+def test_ids_of_other_types_and_clashing_columns(spark):
+    docs = docs_frame(spark, ["a b c", "A b c", "x", "x", None]).selectExpr("concat('id', doc_id) AS doc_id", "text", *(f"doc_id AS `{x}`" for x in ("node", "node_", "node_key", "text_key", "mark", "mark_", "component", "component_", "rows_", "id", "print", "size", "a.b")), "map('k', doc_id) AS m")
+    got = {r.doc_id: r.component_id for r in N.linked(docs).collect()}
+    assert got == {"id0": "id0", "id1": "id0", "id2": "id2", "id3": "id2", "id4": "id4"}
+    kept = N.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.node, r["a.b"], r.m["k"]) for r in kept.collect()) == [("id0", 0, 0, 0), ("id2", 2, 2, 2), ("id4", 4, 4, 4)]
+
+
+def listed_pairs(spark, texts, monkeypatch, **kw):
+    """What linked() gives, and how many pairs it verified beyond the stars."""
+    seen = []
+    plain = N.candidates
+
+    def counted(*args):
+        out = plain(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "candidates", counted)
+    ids = list(range(len(texts)))
+    return result(spark, texts, ids, **kw), brute(ids, texts), seen[0]
+
+
+def test_passages_of_many_texts_give_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    own = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    passage = own(80)
+    # four fifths of each text are one passage, and so is three quarters of longer ones: near the threshold, and no link
+    texts = [f"{own(20)} {passage}" for _ in range(160)] + [f"{passage} {own(26)}" for _ in range(60)]
+    got, want, pairs = listed_pairs(spark, texts, monkeypatch, large=32, block=50)
+    assert got == want and pairs < len(texts), pairs
+
+
+def test_a_chain_of_passages_is_no_group(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    passages = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(50)) for _ in range(200)]
+    texts = [f"{passages[i]} {passages[i + 1]}" for i in range(199)]
+    got, want, pairs = listed_pairs(spark, texts, monkeypatch, large=1, block=8)
+    assert got == want and pairs < 2 * len(texts), pairs
+
+
 def test_empty_table(spark):
     assert N.linked(docs_frame(spark, []).limit(0)).count() == 0
 
