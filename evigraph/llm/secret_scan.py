@@ -5,18 +5,24 @@ One pass over the bytes of every whole text finds candidates: the base kinds
 prefixes, web tokens, private key blocks, and long mixed runs). Candidates are
 hashed, and the hashes are aggregated over the corpus by distinct repositories
 and distinct owners. A value that several owners hold is a widely copied
-example; one that stays with one owner and is no placeholder looks live. The
-further shapes are reported where they look live; the base spans always stay.
+example, and so is one that two owners hold in several repositories each; one
+that stays with one owner, in however many of its repositories, or that two
+owners share in few places, and that is no placeholder looks live. The further
+shapes are reported where they look live; the base spans always stay.
 
 Columns: an owner is a value of ``source``; a repository is a (source, lang).
 
 Distinct counts go through one grouping by (hash, owner, repository), then by
 (hash, owner), then by hash, each with map-side partial sums, so a value that
-sits in a third of all documents costs a task one row a map task.
-
-Defined results: a null text is empty and has no spans; repeated rows and rows
-of equal doc_id are kept apart; a null source or lang is a value of its own; an
-empty table gives no rows; extra columns are ignored.
+sits in a third of all documents costs a task one row a map task. The counts are
+joined back over salted keys. Every pattern passes a text once, so time grows
+with its length.
+
+Defined results: a null text is empty and has no spans; a very long text is
+scanned whole; spans that start together are ordered by kind (a tie); repeated
+rows and rows of equal doc_id are kept apart; a null source or lang is a value
+of its own, and so is a missing column; an empty table gives no rows; extra
+columns are ignored, whatever they are called.
 """
 from __future__ import annotations
 
@@ -40,12 +46,13 @@ BASE = ("assign", "access", "hex")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 MORE = {
-    "pem": re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
     "jwt": re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "prefixed": re.compile(rb"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})"),
     "mixed": re.compile(rb"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])"),
 }
-KINDS = (*BASE, *MORE)
+#: Key blocks, from a header to the next end.
+PEM = (re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(rb"(?=(-----END [A-Z ]*PRIVATE KEY-----))"))
+KINDS = (*BASE, "pem", *MORE)
 PLACEHOLDER = re.compile(rb"example|sample|dummy|placeholder|changeme|your|xxxx|0123456789|123456789|abcdef0123|test", re.I)
 
 
@@ -54,8 +61,11 @@ class Params:
     min_assign: int = 12
     min_access: int = 18
     min_hex: int = 16
-    #: A value that this many owners hold is taken for a copied example.
+    #: A value that this many owners hold is taken for a copied example, or that two hold in this many repositories.
     copied_owners: int = 3
+    copied_repositories: int = 4
+    #: Parts into which the rows of a value are dealt when its counts are joined back.
+    salts: int = 16
     min_entropy: float = 3.0
 
 
@@ -88,7 +98,23 @@ def base_matches(raw: bytes, params: Params = Params()) -> list[tuple[int, int,
 
 def more_matches(raw: bytes) -> list[tuple[int, int, int, bytes]]:
     """(kind, start, end, value) of the further shapes, in bytes."""
-    return [(len(BASE) + k, m.start(), m.end(), m[0]) for k, p in enumerate(MORE.values()) for m in p.finditer(raw)]
+    found = [(len(BASE), a, b, raw[a:b]) for a, b in key_blocks(raw)]
+    return found + [(len(BASE) + 1 + k, m.start(), m.end(), m[0]) for k, p in enumerate(MORE.values()) for m in p.finditer(raw)]
+
+
+def key_blocks(raw: bytes) -> list[tuple[int, int]]:
+    """Places of key blocks, which do not overlap."""
+    ends = [m.span(1) for m in PEM[1].finditer(raw)]
+    out, done, k = [], 0, 0
+    for m in PEM[0].finditer(raw):
+        while k < len(ends) and ends[k][0] < m.end():
+            k += 1
+        if k == len(ends):
+            break
+        if m.start() >= done:
+            done = ends[k][1]
+            out.append((m.start(), done))
+    return out
 
 
 def _candidates(part, params: Params) -> Iterator[list[tuple[int, int, int, bytes]]]:
@@ -170,8 +196,9 @@ def scanned(docs: DataFrame, params: Params) -> DataFrame:
                 )
                 row += n
 
-    owner = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    repository = F.concat_ws("/", owner, F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    given = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("")) if x in docs.columns else F.lit("")
+    owner = given("source")
+    repository = F.concat_ws("/", owner, given("lang"))
     return texts(docs).select("doc_id", F.col("text").cast("string").alias("text"), owner.alias("owner"), repository.alias("repository")).mapInArrow(run, schema)
 
 
@@ -186,7 +213,10 @@ def scan(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """Per document: base counts and digest, all spans, and how many candidates look live or copied."""
     rows = written(scanned(docs, params), "secret-candidates")
     found = rows.select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
-    judged = found.join(ownership(found.select("value", "owner", "repository")), "value").withColumn("copied", F.col("n_owners") >= params.copied_owners)
+    counts = ownership(found.select("value", "owner", "repository")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(params.salts)).cast("int"))
+    copied = (F.col("n_owners") >= params.copied_owners) | (F.col("n_owners") >= 2) & (F.col("n_repositories") >= params.copied_repositories)
+    judged = salted.join(counts.hint("merge"), ["value", "salt"]).withColumn("copied", copied)
     live = ~F.col("copied") & ~F.col("plain")
     names = F.array(*(F.lit(k) for k in KINDS))
     # the candidates of one document lie in its own text, so this list is bounded by that
