@@ -15,9 +15,14 @@ The rule index is broadcast only while the list is at most ``BROADCAST_RULES``
 long; beyond that it is an ordinary join on the token. Verdicts are computed per
 distinct URL and joined back. Only DataFrame functions are used.
 
+Rules may come as a table (rule, verdict): a verdict makes a row a host rule,
+none a pattern.
+
 Defined results: a null URL or one without "://" has empty host and path and
-the default verdict; repeated rows are judged alike; an empty table gives no
-rows; other columns pass through unless they bear a result's name.
+the default verdict; a very long URL is judged whole; of host rules of equal
+length the greatest text counts (a tie); repeated rows are judged alike; an empty
+table gives no rows; other columns pass through, but those that bear a result's
+name give way to it.
 """
 from __future__ import annotations
 
@@ -26,6 +31,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .runtime import free_name
+
 BROADCAST_RULES = 100_000
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,6 +92,12 @@ def standard_rules() -> list[Rule]:
     return [host_rule(*r) for r in HOST_RULES] + [pattern_rule(p) for p in PATTERNS]
 
 
+def rules_from(table: DataFrame) -> list[Rule]:
+    """The rules of a table (rule, verdict), in the order of their texts; the list lies on the driver, as each rule is compiled there."""
+    rows = table.where("rule is not null").select("rule", "verdict").distinct().orderBy("rule", "verdict").toLocalIterator()
+    return [host_rule(r["rule"], r["verdict"]) if r["verdict"] else pattern_rule(r["rule"]) for r in rows]
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty without "://"."""
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -115,23 +128,30 @@ def rule_index(spark: SparkSession, rules: list[Rule], counts: dict[str, int]) -
     return spark.createDataFrame(rows, "token string, rule string, kind string, verdict string, regex string, length int")
 
 
-def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule and verdict."""
-    rules = standard_rules() if rules is None else rules
+    rules = standard_rules() if rules is None else rules_from(rules) if isinstance(rules, DataFrame) else rules
     spark = pages.sparkSession
     host, path = split_url(F.col("url"))
     own = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    urls = own.where("url is not null").select("url")
+    urls = pages.where("url is not null").select("url")
     index = rule_index(spark, rules, token_counts(urls, rules))
     if len(rules) <= BROADCAST_RULES:
         index = F.broadcast(index)
     candidates = own.where("url is not null").select("url", F.concat("host", "path").alias("place"), F.explode(_tokens(F.col("url"))).alias("token"))
     target = F.when(F.col("kind") == "host", F.col("place")).otherwise(F.translate("url", UPPER, LOWERED))
     fits = candidates.join(index, "token").where((F.col("kind") != "host") | F.col("url").contains("://")).where(F.rlike(target, F.col("regex")))
-    best = F.max(F.when(F.col("kind") == "host", F.struct("length", "rule", "verdict")))
-    found = fits.groupBy("url").agg(best.alias("best_"), F.max(F.col("kind") == "allow").alias("allow_"), F.max(F.col("kind") == "block").alias("block_"))
-    verdict = F.coalesce(F.col("best_.verdict"), F.when(F.col("allow_"), F.lit("allow")).when(F.col("block_"), F.lit("block")).otherwise(F.lit("allow")))
-    return own.join(found, "url", "left").select(*own.columns, F.col("best_.rule").alias("rule"), verdict.alias("verdict"))
+    best, allow, block, spread, at = (free_name(own, x) for x in ("best", "allow", "block", "spread", "url_of"))
+    found = fits.groupBy(F.col("url").alias(at)).agg(
+        F.max(F.when(F.col("kind") == "host", F.struct("length", "rule", "verdict"))).alias(best), F.max(F.col("kind") == "allow").alias(allow), F.max(F.col("kind") == "block").alias(block)
+    )
+    # null urls fit nothing, so a number of their own spreads them over the tasks
+    plain = ["page_id"] if "page_id" in own.columns else [x for x, t in own.dtypes if "map<" not in t and "variant" not in t]
+    own = own.withColumn(spread, F.when(F.col("url").isNull(), F.xxhash64(*(F.col(f"`{x}`") for x in plain))).otherwise(0))
+    verdict = F.coalesce(F.col(best)["verdict"], F.when(F.col(allow), F.lit("allow")).when(F.col(block), F.lit("block")).otherwise(F.lit("allow")))
+    joined = own.join(found.withColumn(f"{spread}_", F.lit(0).cast("long")), (F.col("url") == F.col(at)) & (F.col(spread) == F.col(f"{spread}_")), "left")
+    kept = [F.col(f"`{x}`") for x in own.columns if x != spread]
+    return joined.select(*kept, F.col(best)["rule"].alias("rule"), verdict.alias("verdict"))
 
 
 def verdict_sql(rules: list[Rule]) -> str:

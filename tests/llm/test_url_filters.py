@@ -80,3 +80,21 @@ def test_empty_tables(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.range(3).selectExpr("id AS page_id", "concat('http://a.net/', id) AS url")
     assert not re.search("Python|Pandas|Arrow|Cartesian", U.judge(df)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rules_from_a_table_and_columns_of_any_name(spark):
+    table = spark.createDataFrame([("net/", "block"), ("example.net/en/", "allow"), ("/ads/", None), ("@@/ads/policy", None), (None, "block"), ("net/", "block")], "rule string, verdict string")
+    rules = [U.host_rule("net/", "block"), U.host_rule("example.net/en/", "allow"), U.pattern_rule("/ads/"), U.pattern_rule("@@/ads/policy")]
+    names = ("best", "allow", "block", "best_", "allow_", "block_", "token", "place", "kind", "length", "regex", "spread", "url_of", "h.t")
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").selectExpr("*", *(f"page_id + {k} AS `{x}`" for k, x in enumerate(names)), "map(1, 2) AS m")
+    out = U.judge(df, table)
+    rows = out.orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in rows] == [brute(u, rules) for u in URLS]
+    assert out.columns == [*df.columns, "host", "path", "rule", "verdict"] and all(r[x] == r.page_id + k for r in rows for k, x in enumerate(names))
+
+
+def test_long_urls_and_many_nulls(spark):
+    long = "http://a.net/" + "x/" * 500_000 + "ads/" + "." * 500_000
+    df = spark.createDataFrame([(i, None) for i in range(200)] + [(200, long), (201, "http://" + "a." * 300_000 + "net/")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.judge(df).collect()}
+    assert len(got) == 202 and got[200] == got[201] == "block" and {got[i] for i in range(200)} == {"allow"}
