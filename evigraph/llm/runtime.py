@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import Scratch, fresh_path, shared_dir, written
+from ..runtime import Scratch, fresh_path, listing, remove, shared_dir, written
 
-__all__ = ["Scratch", "free_name", "fresh_path", "shared_dir", "table", "texts", "written"]
+__all__ = ["Scratch", "free_name", "fresh_path", "listing", "remove", "shared_dir", "table", "texts", "written"]
 BATCH_BYTES = 1 << 20
 
 

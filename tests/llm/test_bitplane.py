@@ -53,7 +53,7 @@ def test_token_table(spark):
     path = vocab.default_path("word_bpe_49k.json")
     texts = [*ODD, "tie one", "tie one"]
     ids = [9, 3, 8, 1, 2, 7, 6, 5, 4, 0, 11, 11]
-    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in B.token_table(docs_frame(spark, texts, ids=ids), path, 1, block=1000).orderBy("start").collect()]
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in B.token_table(docs_frame(spark, texts, ids=ids), path, 1, B.Sizes(block=1000)).orderBy("start").collect()]
     e = vocab.Encoder(path, False)
     want, start = [], 0
     for i, t in sorted(zip(ids, texts), key=lambda x: x[0]):
@@ -65,3 +65,17 @@ def test_token_table(spark):
 
 def test_empty_table(spark):
     assert B.token_table(docs_frame(spark, []).limit(0), vocab.default_path("word_bpe_49k.json"), 1).count() == 0
+
+
+def test_shards_are_cut_and_left_over_files_removed(spark, tmp_path):
+    path = vocab.default_path("word_bpe_49k.json")
+    docs = docs_frame(spark, [f"some words {i}" for i in range(60)] + [None], ids=[*range(60), None]).selectExpr("*", "1 AS key", "2 AS part", "3 AS file")
+    out = f"{tmp_path}/shards"
+    (tmp_path / "shards").mkdir()
+    (tmp_path / "shards" / "shard-0000000-00000-999.evbp").write_bytes(b"half")
+    index = B.write_shards(docs, out, path, 1, B.Sizes(shard_docs=4, range_bytes=80))
+    rows = index.orderBy("part", "piece").collect()
+    assert sum(r.n_docs for r in rows) == 61 and max(r.n_docs for r in rows) <= 4 and len({r.part for r in rows}) > 4
+    assert {r.file for r in rows} == {p.name for p in (tmp_path / "shards").glob("*.evbp")}
+    got = B.read_shards(index, out).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, *range(60)] and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
