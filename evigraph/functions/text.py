@@ -111,14 +111,18 @@ def first_filled(*fields: Column | str) -> Column:
     return F.coalesce(*(F.nullif(utrim(f), F.lit("")) for f in fields))
 
 
+#: Where points of a text begin: numbers, bullets, and between paragraphs.
+POINT_MARKS = (r"(?m)^\s*\d+[.)]\s+", r"(?m)^\s*[-*•]\s+", r"\n\s*\n")
+
+
 def points(x: Column | str) -> Column:
     """A text as its points: numbered, else bulleted, else paragraphs, else whole."""
     text = utrim(x)
     parts = lambda pattern: F.filter(F.transform(F.split(text, pattern), utrim), lambda p: p != "")
-    numbered, bulleted, paragraphs = parts(r"(?m)^\s*\d+[.)]\s+"), parts(r"(?m)^\s*[-*•]\s+"), parts(r"\n\s*\n")
+    numbered, bulleted, paragraphs = (parts(p) for p in POINT_MARKS)
     return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(F.split(text, r"(?m)^\s*\d+[.)]\s+")) > 2, numbered)
-        .when(F.size(F.split(text, r"(?m)^\s*[-*•]\s+")) > 2, bulleted).when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array(text))
+        F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(F.split(text, POINT_MARKS[0])) > 2, numbered)
+        .when(F.size(F.split(text, POINT_MARKS[1])) > 2, bulleted).when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array(text))
     )
 
 
@@ -193,5 +197,10 @@ def fused_score(best: Column | str, paths: Column | str) -> Column:
     return F.least(F.lit(1.0), col(best) + 0.05 * (col(paths) - 1))
 
 
+def clipped(score: Column | str) -> Column:
+    """A score, or 0 for a negative one."""
+    return F.greatest(col(score), F.lit(0.0))
+
+
 def strength_value(x: Column | str) -> Column:
     return F.when(col(x) == "FULL", 1.0).when(col(x) == "PARTIAL", 0.5).when(col(x) == "WEAK", 0.25).otherwise(0.0)

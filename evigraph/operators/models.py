@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import loose_json
 from ..functions.text import cache_key
+from . import parse
 
 c = F.col
 
@@ -63,8 +64,11 @@ def retried(call: Callable, attempts: int = 3, first: float = 1.0, most: float =
             sleep(min(most, first * 2**n))
 
 
-def embedded(df: DataFrame, column: str, model: Embedder, batch: int = 32, out: str = "embedding") -> DataFrame:
-    """df with the embedding of a text column; each distinct text is embedded once."""
+def embedded(df: DataFrame, column: str, model: Embedder, batch: int = 32, out: str = "embedding", error: str | None = None) -> DataFrame:
+    """df with the embedding of a text column; each distinct text is embedded once.
+
+    A batch that fails for good leaves nulls, which later steps skip; ``error`` names a column for what went wrong there.
+    """
     key = cache_key(column)
     texts = df.where(c(column).isNotNull()).select(key.alias("key_"), c(column).alias("t_")).dropDuplicates(["key_"])
 
@@ -72,31 +76,40 @@ def embedded(df: DataFrame, column: str, model: Embedder, batch: int = 32, out:
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
+                wrong = None
                 try:
                     values = retried(lambda: model.embed(part.column(1).to_pylist()))
-                except Exception:  # a batch that fails for good leaves nulls, which later steps skip
-                    values = [None] * part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.float32()))], ["key_", out])
+                except Exception as e:
+                    values, wrong = [None] * part.num_rows, f"{type(e).__name__}: {e}"[:500]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.float32())), pa.array([wrong] * part.num_rows, pa.string())], ["key_", out, error or "error_"])
+
+    made = texts.mapInArrow(run, f"key_ string, {out} array<float>, {error or 'error_'} string")
+    return df.withColumn("key_", key).join(made if error else made.drop("error_"), "key_", "left").drop("key_")
 
-    return df.withColumn("key_", key).join(texts.mapInArrow(run, f"key_ string, {out} array<float>"), "key_", "left").drop("key_")
 
+def completed(df: DataFrame, prompt: str, model: Completer, schema: str, out: str = "answer", batch: int = 16, error: str | None = None) -> DataFrame:
+    """df with the model's answer to a prompt column, read tolerantly and typed by a schema; unknown fields are ignored.
 
-def completed(df: DataFrame, prompt: str, model: Completer, schema: str, out: str = "answer", batch: int = 16) -> DataFrame:
-    """df with the model's answer to a prompt column, read tolerantly and typed by a schema; unknown fields are ignored."""
-    names = [*df.columns, out]
+    A batch that fails for good leaves empty answers; ``error`` names a column for what went wrong there.
+    """
+    names = [*df.columns, out, *([error] if error else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
+                wrong = None
                 try:
                     answers = retried(lambda: model.complete(part.column(prompt).to_pylist()))
-                except Exception:
-                    answers = [""] * part.num_rows
+                except Exception as e:
+                    answers, wrong = [""] * part.num_rows, f"{type(e).__name__}: {e}"[:500]
                 own = [json.dumps(loose_json.read(a), ensure_ascii=False) for a in answers]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.string())], names)
+                more = [pa.array([wrong] * part.num_rows, pa.string())] if error else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.string()), *more], names)
 
-    return df.mapInArrow(run, df.withColumn(out, F.lit("")).schema).withColumn(out, F.from_json(out, schema))
+    shape = df.withColumn(out, F.lit(""))
+    shape = shape.withColumn(error, F.lit(None).cast("string")) if error else shape
+    return df.mapInArrow(run, shape.schema).withColumn(out, F.from_json(out, schema))
 
 
 ENTITIES = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<source:string,target:string,type:string>>"
@@ -109,6 +122,62 @@ def in_range(ids, items):
     return F.filter(F.coalesce(ids, F.array().cast("array<int>")), lambda i: i.between(0, F.size(items) - 1))
 
 
+EVIDENCE = "evidences array<struct<type:string,result_summary:string>>, evidence_links array<struct<claim_id:int,evidence_id:int,strength:string>>"
+ROLES = "roles array<string>"
+
+
+@dataclass(frozen=True)
+class Argument:
+    """Rows of papers' arguments: nodes by (paper_id, seq), and links by the seqs of their ends."""
+
+    paragraphs: DataFrame
+    problems: DataFrame
+    gaps: DataFrame
+    ideas: DataFrame
+    claims: DataFrame
+    evidences: DataFrame
+    problem_gaps: DataFrame
+    gap_ideas: DataFrame
+    idea_claims: DataFrame
+    claim_evidences: DataFrame
+
+
+def argumentation(papers: DataFrame, zoner: Completer, extractor: Completer, linker: Completer) -> Argument:
+    """The argument of every paper (paper_id, text) in three passes: roles of paragraphs, nodes by schema, evidence of claims.
+
+    Links by index that point outside their list are dropped, as are unknown strengths.
+    """
+    roles = completed(papers.withColumn("prompt", c("text")), "prompt", zoner, ROLES)
+    zoned = parse.zoned(roles, c("answer.roles"), "paper_id")
+    body = zoned.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_idx", F.concat(F.lit("["), "role", F.lit("] "), "paragraph").alias("p")))).alias("l"))
+    prompts = body.select("paper_id", F.array_join(F.transform("l", lambda x: x["p"]), "\n\n").alias("prompt"))
+    nodes = completed(prompts, "prompt", extractor, ARGUMENT)
+    each = lambda name: nodes.select("paper_id", F.posexplode(f"answer.{name}").alias("seq", "n")).select("paper_id", "seq", "n.*")
+    claims = each("claims")
+    listed = claims.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("l"))
+    evidence = completed(listed.select("paper_id", F.to_json("l").alias("prompt")), "prompt", linker, EVIDENCE)
+    found = evidence.select("paper_id", F.posexplode("answer.evidences").alias("seq", "n")).select("paper_id", "seq", "n.*")
+
+    def links(name: str, ids: str, to: str, other: str) -> DataFrame:
+        rows = nodes.select("paper_id", c(f"answer.{to}").alias("to"), F.posexplode(f"answer.{name}").alias("seq", "n"))
+        return rows.select("paper_id", "seq", F.explode(in_range(c(f"n.{ids}"), c("to"))).alias(other)).distinct()
+
+    pairs = evidence.select("paper_id", c("answer.evidences").alias("to"), F.inline("answer.evidence_links")).join(listed, "paper_id")
+    pairs = pairs.where(c("claim_id").between(0, F.size("l") - 1) & c("evidence_id").between(0, F.size("to") - 1))
+    pairs = pairs.where(F.upper("strength").isin("FULL", "PARTIAL", "REFUTED", "UNVERIFIABLE")).select("paper_id", c("claim_id").alias("seq"), c("evidence_id").alias("evidence_seq"), F.upper("strength").alias("strength")).distinct()
+    return Argument(
+        zoned, each("problems").drop("gap_ids"), each("gaps").drop("core_idea_ids"), each("core_ideas").drop("claim_ids"), claims, found,
+        links("problems", "gap_ids", "gaps", "gap_seq"), links("gaps", "core_idea_ids", "core_ideas", "idea_seq"), links("core_ideas", "claim_ids", "claims", "claim_seq"), pairs,
+    )
+
+
+def persisted_links(links: DataFrame, methods: DataFrame) -> DataFrame:
+    """(paper_id, cur, prev): links found with a paper of which an end, at least, is a method of that paper; ends differ."""
+    own = methods.select("paper_id", "method_id").distinct()
+    ends = links.where("cur <> prev").select("paper_id", "cur", "prev", F.explode(F.array("cur", "prev")).alias("method_id"))
+    return ends.join(own, ["paper_id", "method_id"], "left_semi").select("paper_id", "cur", "prev").distinct()
+
+
 def entities(answers: DataFrame) -> DataFrame:
     """(paper_id, seq, entity_type, name, description) of entity answers."""
     rows = answers.select("paper_id", F.posexplode("answer.entities").alias("seq", "e"))

@@ -115,6 +115,27 @@ def attach_content(tree: DataFrame, docs: DataFrame, key: str = "doc_id", text:
     return tree.join(joined.select(key, "seq", cut.alias("content")), [key, "seq"], "left")
 
 
+def parsed_records(rows: DataFrame, key: str = "paper_id") -> tuple[DataFrame, DataFrame]:
+    """Sections and section tree of records (key, text, abstract, toc), each parsed whole.
+
+    Sections: (key, section, content), the record's own abstract where the text has
+    none. Tree: (key, seq, title, heading_level, source, parent_seq, section_key, content)
+    from the text's headings where there are more than two, else from the table of
+    contents with levels from equal headings, else none.
+    """
+    found = sections(rows, key)
+    abstract = utrim("abstract")
+    lacking = rows.where(F.coalesce(abstract, F.lit("")) != "").join(found.where("section = 'abstract'").select(key), key, "left_anti")
+    own = found.unionByName(lacking.select(key, F.lit("abstract").alias("section"), c("abstract").alias("content")))
+    heads = markdown_headings(rows, key)
+    many = heads.groupBy(key).agg(F.count("*").alias("n")).where("n > 2").select(key)
+    marked = heads.join(many, key, "left_semi").withColumn("source", F.lit("headings"))
+    listed = rows.join(many, key, "left_anti").select(key, F.posexplode("toc").alias("seq", "e")).select(key, "seq", c("e.title").alias("title"), c("e.heading_level").alias("heading_level"))
+    listed = enrich_levels(listed, heads, key).withColumn("source", F.lit("contents"))
+    nodes = heading_tree(marked.unionByName(listed.select(*marked.columns)), key)
+    return own, attach_content(nodes.withColumn("section_key", section_key("title")), rows, key)
+
+
 def link_claims(claims: DataFrame, tree: DataFrame, key: str = "paper_id") -> DataFrame:
     """(claim_id, node_id): the first node whose key equals the claim's section, else the most similar title above 0.4."""
     name = F.lower(utrim("source_section"))

@@ -22,6 +22,8 @@ KEYS = {
     "has_problem": ("paper_id", "problem_id"), "has_gap": ("problem_id", "gap_id"), "addressed_by": ("gap_id", "idea_id"), "idea_claim": ("idea_id", "claim_id"), "section_claim": ("node_id", "claim_id"),
     "citation_gap": ("citing", "cited", "intent", "gap_id"), "vector": ("collection", "point_id"), "processed": ("paper_id",),
 }
+#: Name of a batch's folder, before its number.
+BATCH = "batch_="
 PAPER_RELATIONS = ("PROPOSES", "INTRODUCES", "USES")
 c = F.col
 
@@ -35,7 +37,7 @@ class Store:
     def batches(self, table: str) -> list[str]:
         """Folders of the finished batches, in order."""
         at = f"{self.root}/{table}"
-        return [f"{at}/{d}" for d in listing(self.spark, at) if d.startswith("seq=") and "_SUCCESS" in listing(self.spark, f"{at}/{d}")]
+        return [f"{at}/{d}" for d in listing(self.spark, at) if d.startswith(BATCH) and "_SUCCESS" in listing(self.spark, f"{at}/{d}")]
 
     def upsert(self, table: str, rows: DataFrame, deleted: bool = False) -> None:
         """Insert or overwrite by key; of equal keys in one batch the greatest row stays."""
@@ -44,17 +46,16 @@ class Store:
             raise ValueError(f"{table} lacks its keys {unknown}")
         others = [x for x in rows.columns if x not in keys]
         one = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("r_")).select(*keys, "r_.*") if others else rows.distinct()
-        last = max((int(d.partition("=")[2]) for d in listing(self.spark, f"{self.root}/{table}") if d.startswith("seq=")), default=0)
-        one.withColumn("deleted_", F.lit(deleted)).write.parquet(f"{self.root}/{table}/seq={last + 1:09d}")
+        last = max((int(d.partition("=")[2]) for d in listing(self.spark, f"{self.root}/{table}") if d.startswith(BATCH)), default=0)
+        # a writer that was beaten to the number fails here, as the folder exists
+        one.withColumn("deleted_", F.lit(deleted)).write.mode("error").parquet(f"{self.root}/{table}/{BATCH}{last + 1:09d}")
 
     def read(self, table: str) -> DataFrame | None:
         """The latest row of each key that is not deleted; None before the first batch."""
         if not (paths := self.batches(table)):
             return None
-        log = None
-        for path in paths:  # a column that an older batch lacks is null there
-            one = self.spark.read.parquet(path).withColumn("seq_", F.lit(int(path.rpartition("=")[2])))
-            log = one if log is None else log.unionByName(one, allowMissingColumns=True)
+        # one scan of all batches; a column that an older batch lacks is null there
+        log = self.spark.read.option("basePath", f"{self.root}/{table}").option("mergeSchema", "true").parquet(*paths).withColumnRenamed("batch_", "seq_")
         others = [x for x in log.columns if x not in KEYS[table] and x != "seq_"]
         latest = log.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*others), "seq_").alias("r_"))
         return latest.select(*KEYS[table], "r_.*").where(~c("deleted_")).drop("deleted_")
@@ -79,6 +80,10 @@ class Store:
         if current is not None:
             self.upsert(table, current.where(F.coalesce(condition, F.lit(False))), deleted=True)
 
+    def delete_equal(self, table: str, column: str, value) -> None:
+        """Hide all rows whose column equals the value; a null equals only a null."""
+        self.delete_where(table, c(column).eqNullSafe(F.lit(value)))
+
     def duplicates(self, table: str, rows: DataFrame) -> DataFrame:
         """Keys that occur more than once."""
         return rows.groupBy(*KEYS[table]).agg(F.count("*").alias("n")).where("n > 1")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import coupled_score, evolution_score, fused_score, tree_score
+from ..functions.text import clipped, coupled_score, evolution_score, fused_score, tree_score
 from ..operators import patterns as P
 from ..operators.vectors import top_k
 from ..projection import Graph
@@ -21,7 +21,7 @@ PATHS = ("entity", "claim", "evolution", "section", "tree_search", "tree_claim_c
 def hits(g: Graph, query: list[float], kind: str, k: int, path: str) -> DataFrame:
     """Filtered vector hits as path rows; hits without a paper are dropped, negative scores count as 0."""
     found = top_k(g.vec, query, k, c("doc_kind") == kind)
-    return found.where("paper_id is not null").select("paper_id", F.lit(path).alias("path"), F.greatest("score", F.lit(0.0)).alias("score"), c("entity_type").alias("payload"))
+    return found.where("paper_id is not null").select("paper_id", F.lit(path).alias("path"), clipped("score").alias("score"), c("entity_type").alias("payload"))
 
 
 def fused(paths: DataFrame) -> DataFrame:
@@ -72,7 +72,10 @@ def enhanced_recall(g: Graph, query: list[float], k: int = 20, rank: DataFrame |
 
 
 def reranked(results: DataFrame, rank: DataFrame | None, head: int = 15, bonus: float = 0.05) -> DataFrame:
-    """Results with position and adjusted score: ranked ones first, the others in their order; fewer than three stay as they are."""
+    """Results with position and adjusted score: ranked ones first, the others in their order; fewer than three stay as they are.
+
+    The windows have no partition, as results are the k rows of one limit.
+    """
     order = Window.orderBy(F.desc("score"), "paper_id")
     rows = results.withColumn("place", F.row_number().over(order) - 1)
     if rank is None:

@@ -96,7 +96,7 @@ def prj04_structs(g):
 
 @query("SELECT DISTINCT 'paper' AS label, rel AS type FROM paper_entity UNION ALL SELECT 'paper', 'CITES' FROM (SELECT 1) x")
 def prj05_labels(g):
-    return g.paper_entity.select(F.lit("paper").alias("label"), c("rel").alias("type")).distinct().unionByName(g.cites.limit(1).select(F.lit("paper").alias("label"), F.lit("CITES").alias("type")))
+    return g.paper_entity.select(F.lit("paper").alias("label"), c("rel").alias("type")).distinct().unionByName(g.cites.select(F.lit("paper").alias("label"), F.lit("CITES").alias("type")).distinct())
 
 
 @query("SELECT src AS paper_id, unnest(list_sort(list(DISTINCT rel))) AS rel FROM paper_entity GROUP BY 1")
@@ -292,15 +292,9 @@ def txt04_enriched_levels(t):
     return parse.enrich_levels(entries, heads).select("doc_id", c("heading_level").cast("long").alias("level"))
 
 
-@raw("SELECT doc_id, text AS content FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) = text AND text <> '' AND length(text) <= 10000")
-def txt05_attached_content(t):
-    docs = t["documents"].where((X.utrim("text") == c("text")) & (F.length("text").between(1, 10_000))).select("doc_id", F.concat(F.lit("# Head\n"), "text").alias("text"))
-    return parse.attach_content(parse.heading_tree(parse.markdown_headings(docs)), docs).where("content is not null").select("doc_id", "content")
-
-
 @raw(r"""WITH own AS (SELECT doc_id, regexp_replace(text, '\A[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+\z', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN length(t) > 10000 THEN concat(left(t, 10000), '...') ELSE t END AS content FROM own""")
-def txt05_attached_content_whole(t):
+def txt05_attached_content(t):
     docs = t["documents"].where("text is not null").select("doc_id", F.concat(F.lit("# Head\n"), "text").alias("text"))
     return parse.attach_content(parse.heading_tree(parse.markdown_headings(docs)), docs).where("content is not null").select("doc_id", "content")
 
@@ -528,10 +522,13 @@ def mod07_evidence_answers(g):
     return out.select("claim_id", F.inline("answer.evidence_links"))
 
 
-@query("SELECT cur, prev FROM evolves WHERE cur % 1000 = 1")
+@query("SELECT cur // 1000 AS paper_id, cur, prev FROM evolves")
 def mod09_persisted_links(g):
-    own = g.method.where("method_id % 1000 = 1").select(c("method_id").alias("cur"))
-    return g.evolves.where("cur <> prev").join(own, "cur", "left_semi").select("cur", "prev")
+    """Each conversation's methods are a paper's; links come with that paper, the one after, and with both ends the same."""
+    own = g.method.select(F.floor(c("method_id") / 1000).cast("long").alias("paper_id"), "method_id")
+    link = g.evolves.select(F.floor(c("cur") / 1000).cast("long").alias("paper_id"), "cur", "prev")
+    given = link.unionByName(link.withColumn("paper_id", c("paper_id") + 1)).unionByName(link.withColumn("prev", c("cur")))
+    return M.persisted_links(given, own)
 
 
 # ingest

@@ -1,7 +1,6 @@
 """Vector search, retrieval, entity resolution, store and ingest queries, each with the same query in SQL where SQL has one."""
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -50,18 +49,18 @@ def vec01_filtered_top_k(g):
 
 
 PAIRS = """knn AS (SELECT * FROM (SELECT a.vec_id AS qa, b.vec_id AS qb, s, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS rn
-FROM vec a JOIN vec b ON a.doc_kind = b.doc_kind AND a.vec_id <> b.vec_id, LATERAL (SELECT round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s) z WHERE s >= 0.5) x WHERE rn <= 10),
+FROM vec a JOIN vec b ON a.doc_kind = b.doc_kind AND a.vec_id <> b.vec_id, LATERAL (SELECT round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s) z WHERE s >= 0.2) x WHERE rn <= 10),
 pairs AS (SELECT least(qa, qb) AS id_a, greatest(qa, qb) AS id_b, max(s) AS score FROM knn GROUP BY 1, 2)"""
 
 
-@query(f", {PAIRS} SELECT id_a, id_b, round(score, 5) AS score FROM pairs")
+@query(f", {PAIRS} SELECT id_a, id_b, score FROM pairs")
 def vec02_similar_pairs(g):
-    return V.similar_pairs(g.vec, 0.5, 10, same="doc_kind").select("id_a", "id_b", F.round("score", 5).alias("score"))
+    return V.similar_pairs(g.vec, 0.2, 10, same="doc_kind")
 
 
-@query(f", {PAIRS} SELECT qa AS query_id, count(*) AS n, round(max(s), 5) AS best FROM knn GROUP BY 1")
+@query(f", {PAIRS} SELECT qa AS query_id, count(*) AS n, max(s) AS best FROM knn GROUP BY 1")
 def win09_top_k_per_key(g):
-    return V.nearest(g.vec, g.vec, 10, 0.5, same="doc_kind").groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 5).alias("best"))
+    return V.nearest(g.vec, g.vec, 10, 0.2, same="doc_kind").groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
 def _kind_nn(kind: str) -> str:
@@ -97,18 +96,6 @@ def ret01_competition_space(g):
     return RT.competition_space(g, query_vector(g)).withColumn("score", F.round("score", 5))
 
 
-@query()
-def ret02_enhanced_recall(g):
-    return RT.enhanced_recall(g, query_vector(g))
-
-
-@query()
-def ret04_rerank(g):
-    base = RT.enhanced_recall(g, query_vector(g))
-    rank = base.select("paper_id", F.row_number().over(Window.orderBy("score", "paper_id")).alias("position")).limit(5)
-    return RT.reranked(base.drop("rerank_position"), rank)
-
-
 TREND = f"""{SCORED}, h AS (SELECT * FROM sc WHERE doc_kind = 'entity' ORDER BY score DESC, vec_id LIMIT 50)"""
 
 
@@ -158,7 +145,7 @@ def agg14_duplicate_groups(g):
 
 @query(f", {PAIRS} SELECT count(*) AS pairs, count(DISTINCT id_a) AS left_ids FROM pairs")
 def agg16_pair_counts(g):
-    return V.similar_pairs(g.vec, 0.5, 10, same="doc_kind").agg(F.count("*").alias("pairs"), F.countDistinct("id_a").alias("left_ids"))
+    return V.similar_pairs(g.vec, 0.2, 10, same="doc_kind").agg(F.count("*").alias("pairs"), F.countDistinct("id_a").alias("left_ids"))
 
 
 def er02_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,18 +314,8 @@ QUERIES["jsn02_repaired_json"] = _repaired
 ORACLES["jsn01_tolerant_json"] = ORACLES["jsn02_repaired_json"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
 
 
-@query("SELECT paper_id, title, CAST(year AS INTEGER) AS year FROM paper WHERE paper_id < 20 AND year IS NOT NULL")
-def src11_citation_source(g):
-    spark = g.paper.sparkSession
-    citations.register(spark)
-    rows = g.paper.where("paper_id < 20 and year is not null").collect()
-    answers = {str(r["paper_id"]): [{"title": r["title"], "year": r["year"]}, {"title": ""}] for r in rows}
-    out = spark.read.format("paper_citations").option("ids", ",".join(answers)).option("answers", json.dumps(answers)).load()
-    return out.select(c("citing").cast("long").alias("paper_id"), "title", "year")
-
-
 @query("SELECT paper_id, title, CAST(year AS INTEGER) AS year FROM paper WHERE title <> ''")
-def src11_citation_source_whole(g):
+def src11_citation_source(g):
     """Every paper, its answers read from a written table file by file."""
     spark = g.paper.sparkSession
     citations.register(spark)

@@ -116,16 +116,6 @@ def str18_truncate(t):
     return t["documents"].select("doc_id", F.size(F.split("text", r"[.!?]\s+")).cast("long").alias("n_upper_bound"), F.length(X.truncated("text", 200)).cast("long").alias("n_cut"))
 
 
-@query()
-def str14_points(t):
-    return t["conversations"].select("conv_id", "turn", F.size(X.points("text")).alias("n_points"))
-
-
-@query()
-def str16_sentences(t):
-    return t["documents"].select("doc_id", F.size(X.sentences("text")).alias("n_sentences"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_linenumber AS first, CAST(trunc(l_quantity) AS INTEGER) AS last FROM lineitem")
 def str19_line_ranges(t):
     first, last = X.line_range(F.concat(F.lit("line "), c("l_linenumber").cast("string"), F.lit("-"), c("l_quantity").cast("int").cast("string")))

@@ -87,6 +87,15 @@ def text_files(spark: SparkSession, path: str, extension: str = "txt") -> DataFr
     return rows.select("path", F.regexp_replace(F.url_decode(name), r"\.[^.]+\z", "").alias("title"), "text").orderBy("path")
 
 
+def one_file(spark: SparkSession, path: str, paper_id: str | None = None, title: str | None = None, year: int | None = None, venue: str | None = None) -> DataFrame:
+    """One file as a record (paper_id, title, year, venue, text); without an id or title the file's stem stands for them."""
+    stem = F.regexp_replace(F.element_at(F.split(F.url_decode(F.input_file_name()), "/"), -1), r"\.[^.]+\z", "")
+    given = lambda x, other: F.coalesce(F.lit(x).cast("string"), other)
+    return spark.read.text(path, wholetext=True).select(
+        given(paper_id, stem).alias("paper_id"), given(title, stem).alias("title"), F.lit(year).cast("int").alias("year"), F.lit(venue).cast("string").alias("venue"), c("value").alias("text")
+    )
+
+
 def converted(spark: SparkSession, path: str, convert: Callable[[bytes], str], extension: str = "pdf") -> DataFrame:
     """(path, text) of binary documents by a converter; a document on which it fails has an empty text and its error."""
 

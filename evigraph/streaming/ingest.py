@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import hash_text
 from ..operators import parse
@@ -49,7 +49,10 @@ def ingest(store: Store, rows: DataFrame) -> DataFrame:
             F.concat_ws(":", "paper_id", c("seq").cast("string")).alias("node_id"), "paper_id", "seq", "title", "heading_level", F.concat_ws(":", "paper_id", c("parent_seq").cast("string")).alias("parent"),
             c("parent_seq").isNotNull().alias("has_parent"), parse.section_key("title").alias("section_key"),
         )
-        totals = fresh.agg(F.count(F.when(c("error").isNull(), 1)).alias("success"), F.count("error").alias("failed")).withColumn("skipped", F.lit(rows.count() - fresh.count()))
+        # one aggregate over the source gives all counts
+        whole = rows.agg(F.count("*").alias("rows"))
+        totals = fresh.agg(F.count(F.when(c("error").isNull(), 1)).alias("success"), F.count("error").alias("failed")).join(whole, F.lit(True))
+        totals = totals.select("success", "failed", (c("rows") - c("success") - c("failed")).alias("skipped"))
         totals = totals.join(sections.agg(F.count("*").alias("sections")), F.lit(True))
         out = rows.sparkSession.createDataFrame(totals.collect(), totals.schema)  # one row, before the tables change
         store.upsert("section", nodes.select("node_id", "paper_id", "seq", "title", "heading_level", F.when(c("has_parent"), c("parent")).alias("parent"), "section_key"))
@@ -62,6 +65,41 @@ def ingest(store: Store, rows: DataFrame) -> DataFrame:
         fresh.unpersist()
 
 
+def ingest_groups(store: Store, rows: DataFrame, size: int, skip_existing: bool = True) -> DataFrame:
+    """Ingest records in groups of about ``size``, each with its own checkpoint; a row of totals for each group.
+
+    With skip_existing records whose ids a checkpoint names are left out, so a job
+    that was stopped goes on with the groups that it lacks. Groups are dealt by a
+    hash of the id, so they are the same in every run.
+    """
+    id = F.coalesce("id", hash_text("title"))
+    if skip_existing and (done := store.read("processed")) is not None:
+        rows = rows.withColumn("own_id", id).join(done.select(c("paper_id").alias("own_id")), "own_id", "left_anti").drop("own_id")
+    groups = max(1, -(-rows.count() // size))
+    out = None
+    for n in range(groups):
+        own = ingest(store, rows.where(F.pmod(F.xxhash64(id), F.lit(groups)) == n)).withColumn("group", F.lit(n))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def pace(done: Column, total: Column, seconds: Column) -> tuple[Column, Column]:
+    """Records a minute, and the minutes that the rest takes at that rate; null before the first record."""
+    rate = F.when((seconds > 0) & (done > 0), done / seconds * 60)
+    return F.round(rate, 4), F.round((total - done) / rate, 4)
+
+
+def progress(query, total: int | None = None) -> list[dict]:
+    """For each finished batch of a streaming query: its number, records so far, records a minute, and minutes left of total."""
+    out, done, seconds = [], 0, 0.0
+    for p in query.recentProgress:
+        done += p["numInputRows"]
+        seconds += p["durationMs"].get("triggerExecution", 0) / 1000
+        rate = done / seconds * 60 if seconds and done else None
+        out.append({"batch": p["batchId"], "records": done, "per_minute": rate, "minutes_left": (total - done) / rate if total is not None and rate else None})
+    return out
+
+
 def ingest_stream(store: Store, folder: str, checkpoint: str, on_batch: Callable[[int, DataFrame], None] | None = None):
     """Ingest what is new in a folder of JSON Lines files and stop; progress is kept in the checkpoint folder."""
     spark = store.spark
