@@ -11,9 +11,12 @@ under full are cut at powers of two, where sequences need no padding.
 Ranks are global without a global sort: tasks number their own remainders of
 each length, and the totals of the tasks before are added.
 
-Defined results: a null text is empty and yields its end id alone; rows of equal
-doc_id are packed as separate documents; an empty table gives no rows; extra
-columns are ignored.
+Defined results: a null text is empty and yields its end id alone; a very long
+text is encoded whole and gives as many full sequences as it fills; packs with
+equally much room are filled in the order in which they were opened, the last
+first (a tie); repeated rows and rows of equal doc_id are packed as separate
+documents; an empty table gives no rows; extra columns are ignored, whatever
+they are called.
 """
 from __future__ import annotations
 
@@ -168,7 +171,8 @@ def _measured(docs: DataFrame, params: Params, keep_ids: bool) -> DataFrame:
 def pack(docs: DataFrame, params: Params, keep_ids: bool = False) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, little-endian, with keep_ids)."""
     table = written(_measured(docs, params, keep_ids), "packing")
-    counts = table.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.size("full_crcs")).cast("long").alias("n_full")).persist()
+    counts = table.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.size("full_crcs")).cast("long").alias("n_full"))
+    counts = written(counts, "packing-counts")
     histogram = {r["rest"]: r["n"] for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     placed = plan(histogram, params)
     # totals of the tasks before: one row a task and length, never one a document; they grow with the tasks, so no broadcast
