@@ -64,3 +64,25 @@ def test_empty_table(spark, folder):
 
 def test_names():
     assert len(C.STAGES) == 5 and pii.KINDS
+
+
+def test_repeated_ids_clashing_columns_and_long_texts(spark, folder):
+    path, _ = folder
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    a, b, long = prose(80), prose(80), prose(120_000)
+    names = ("text_key", "doc_id_", "spans", "found", "found_", "component", "node", "mark", "row_key", "n_words", "kept", "part", "rest", "ids", "own", "between", "best", "quality_", "a.b")
+    docs = docs_frame(spark, [a, b, a, a, None, long, long + " tail", f"{b} mail x.y@c.example.com"], extra=False, ids=[1, 1, 1, 2, None, 3, 4, 5]).selectExpr("*", *(f"cast(n_chars AS string) AS `{x}`" for x in names))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        docs = spark.createDataFrame(rows, out.schema)
+        if name == "quality_rules":
+            assert len(rows) == 7
+        if name == "ngram_jaccard_join":
+            # both texts of id 1 stay, one of each set of near copies
+            assert sorted((r.doc_id, r.text) for r in rows) == sorted([(1, a), (1, b), (3, long)])
+    assert all(r["a.b"] == str(len(r.text)) for r in rows)
+    pieces = C.STAGES[-1][1](spark, docs, path).collect()
+    assert sum(p.length for p in pieces if p.doc_id == 3) == max(p.doc_tokens for p in pieces if p.doc_id == 3)
