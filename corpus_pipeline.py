@@ -2,13 +2,15 @@
 
 Each stage reads what the one before it kept, as written Parquet, and its
 decisions take effect: documents that the quality rules reject go; one document
-of each near-duplicate group stays (that of the least doc_id); documents that
+of each near-duplicate group stays (that of the least doc_id; texts of one doc_id
+are judged each by itself); documents that
 hold a benchmark window go; personal data is replaced in the texts (and n_chars
 follows); the rest is packed into sequences of token ids. All stages but the
 last return the columns of ``documents``.
 
-Defined results: the operators' own for nulls, empty texts, ties, repeated rows,
-empty tables and extra columns; a table emptied by a stage flows on as empty.
+Defined results: the operators' own for nulls, empty and very long texts, ties and
+repeated rows; a table emptied by a stage flows on as empty; extra columns, whatever
+they are called, pass through all stages but the last.
 """
 from __future__ import annotations
 
@@ -36,7 +38,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.size(found) > 0, length).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{x}`") for x in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
