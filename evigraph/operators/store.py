@@ -23,7 +23,7 @@ KEYS = {
     "citation_gap": ("citing", "cited", "intent", "gap_id"), "vector": ("collection", "point_id"), "processed": ("paper_id",),
 }
 #: Name of a batch's folder, before its number.
-BATCH = "batch_="
+BATCH = "seq="
 PAPER_RELATIONS = ("PROPOSES", "INTRODUCES", "USES")
 c = F.col
 
@@ -55,7 +55,8 @@ class Store:
         if not (paths := self.batches(table)):
             return None
         # one scan of all batches; a column that an older batch lacks is null there
-        log = self.spark.read.option("basePath", f"{self.root}/{table}").option("mergeSchema", "true").parquet(*paths).withColumnRenamed("batch_", "seq_")
+        log = self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        log = log.select("*", F.regexp_extract("_metadata.file_path", rf"{BATCH}(\d+)/[^/]*$", 1).cast("int").alias("seq_"))
         others = [x for x in log.columns if x not in KEYS[table] and x != "seq_"]
         latest = log.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*others), "seq_").alias("r_"))
         return latest.select(*KEYS[table], "r_.*").where(~c("deleted_")).drop("deleted_")

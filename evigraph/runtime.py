@@ -3,10 +3,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@contextmanager
+def session(name: str, master: str | None = None, settings: dict[str, str] | None = None) -> Iterator[SparkSession]:
+    """A session with adaptive plans and times in UTC, stopped at the end unless it was there before."""
+    before = SparkSession.getActiveSession()
+    builder = SparkSession.builder.appName(name)
+    if master:
+        builder = builder.master(master)
+    for key, value in {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", **(settings or {})}.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    try:
+        yield spark
+    finally:
+        if before is None:
+            spark.stop()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset and all run on this machine a folder of this session."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.evigraph.shared.dir", None)

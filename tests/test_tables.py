@@ -153,7 +153,6 @@ def test_nearest_matches_numpy(spark):
         order = sorted((j for j in range(60) if j != i and j % 2 == i % 2), key=lambda j: (-score[i, j], j))[:4]
         want |= {(i, j) for j in order}
     assert {(r.query_id, r.vec_id) for r in V.nearest(df, df, 4, same="kind").collect()} == want
-    assert {(r.query_id, r.vec_id) for r in V._nearest_joined(df, df, 4, -1.0, "kind", 6).collect()} == want
     assert V.nearest(df.limit(0), df, 3).count() == 0
 
 
