@@ -205,8 +205,10 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int, sizes: Sizes
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // sizes.range_bytes))
-    ranged = texts(rows, vocab.SLICE).repartitionByRange(ranges, "doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
+    ranges = -(-n_bytes // sizes.range_bytes)
+    # the session's own number of ranges, which the engine may lower, does for a smaller corpus
+    number = [ranges] if ranges > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    ranged = texts(rows, vocab.SLICE).repartitionByRange(*number, "doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
     index = written(ranged.mapInArrow(run, schema), "shard-index")
     remove_unnamed(index, out)
     return index
