@@ -62,10 +62,16 @@ def related_methods(g: Graph, paper_id: int, limit: int = 40) -> DataFrame:
 
 
 def gaps_for_methods(g: Graph, names: Sequence[str]) -> DataFrame:
-    """Distinct method, problem and gap along method <- paper -> problem -> gap."""
+    """Distinct method, problem and gap along method <- paper -> problem -> gap.
+
+    Both sides of the last join are made distinct before it: a row names its
+    problem and all columns of both sides, so their product repeats no row and
+    is neither shuffled nor held.
+    """
     papers = methods_named(g, names).join(g.paper_entity.where(c("rel").isin(*OWNING)), c("entity_id") == c("dst")).select(c("name").alias("method"), c("src").alias("paper_id")).distinct()
-    problems = papers.join(g.has_problem, "paper_id").select("method", "paper_id", "problem_id")
-    return problems.join(g.problem, "problem_id").join(g.has_gap, "problem_id").join(g.gap, "gap_id").select("method", "paper_id", "problem_id", c("description").alias("problem"), "gap_id", "failure_mode", "constraint_text").distinct()
+    problems = papers.join(g.has_problem, "paper_id").select("method", "paper_id", "problem_id").distinct()
+    gaps = g.problem.join(g.has_gap, "problem_id").join(g.gap, "gap_id").select("problem_id", c("description").alias("problem"), "gap_id", "failure_mode", "constraint_text").distinct()
+    return problems.join(gaps, "problem_id").select("method", "paper_id", "problem_id", "problem", "gap_id", "failure_mode", "constraint_text")
 
 
 def addressing_ideas(g: Graph, gaps: DataFrame) -> DataFrame:
