@@ -5,7 +5,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from evigraph.operators import patterns as P
+from evigraph.operators import parse, patterns as P
 from evigraph.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -46,7 +46,28 @@ def test_gaps_for_methods_shuffles_no_product(spark):
     assert shuffled < 20 * n
 
 
-@pytest.mark.parametrize("name", ["jn04_gaps_for_methods", "jn06_unaddressed_gaps"])
+def test_link_claims_compares_only_names_without_an_equal_key(spark):
+    n = 400
+    tree = spark.createDataFrame([("p", i, i, f"Part {i}", f"part {i}") for i in range(n)] + [("p", n, n, "Closing words", None)], "paper_id string, node_id long, seq int, title string, section_key string")
+    claims = spark.createDataFrame([("p", i, f" PART {i}") for i in range(n)] + [("p", n + i, "the closing words") for i in range(n)], "paper_id string, claim_id long, source_section string")
+    rows, joined = passed_on(spark, parse.link_claims(claims, tree), "Join", "numOutputRows")
+    assert {r.claim_id: r.node_id for r in rows} == {i: min(i, n) for i in range(2 * n)}
+    assert joined < 20 * n
+
+
+def test_link_claims_takes_the_first_of_equals_and_passes_nulls_over(spark):
+    tree = spark.createDataFrame(
+        [("p", "b", 2, "Method", "method"), ("p", "a", 1, "Method", "method"), ("p", "c", 3, "Own data set", None), ("p", "d", 0, None, None), ("q", "e", None, "Method", "method"), (None, "f", 0, "Method", "method")],
+        "paper_id string, node_id string, seq int, title string, section_key string",
+    )
+    claims = spark.createDataFrame(
+        [("p", 1, "Method"), ("p", 2, "Data set"), ("p", 3, None), ("q", 4, "METHOD "), (None, 5, "Method"), ("p", 6, ""), ("p", 7, "Data set"), ("p", 7, "method"), ("p", 1, "Method")],
+        "paper_id string, claim_id long, source_section string",
+    )
+    assert {r.claim_id: r.node_id for r in parse.link_claims(claims, tree).collect()} == {1: "a", 2: "c", 4: "e", 7: "a"}
+
+
+@pytest.mark.parametrize("name", ["jn04_gaps_for_methods", "jn06_unaddressed_gaps", "jn18_claim_sections"])
 def test_repeated_suppliers(spark, tmp_path, name):
     for t in TABLES:
         (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
