@@ -105,3 +105,40 @@ def test_columns_of_any_name(spark):
     docs = docs_frame(spark, ["word " * 20, None]).selectExpr("*", "1 AS quality_", "2 AS hash_", "3 AS kept", "4 AS anomaly", "5 AS quality")
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     assert Q.keep_good(docs, labels).columns == docs.columns and Q.quality(docs, labels).count() == 2
+
+
+def test_every_labelled_good_row_is_in_a_tree(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    stats = Q.measured(docs_frame(spark, [text] * 900))
+    labels = spark.createDataFrame([(i, 1) for i in range(900)], "doc_id long, quality int")
+    path = Q._expected(np.arange(901.0))
+    for trees, rows, want in ((5, 32, 900), (5, 400, 3 * 900), (3, 900, 3 * 900)):
+        forest = Q.fit(stats, labels, Q.Params(sample=100, trees=trees, tree_rows=rows))
+        # equal rows leave nothing to split, so a root's path length tells the number of its rows
+        held = [int(np.abs(path - d).argmin()) for d in forest.depth[:, 0]]
+        assert sum(held) == want and min(held) > 100, held
+
+
+def test_scale_and_cut_come_from_all_labelled_rows(spark):
+    rng = np.random.default_rng(4)
+    texts = [prose(rng, 60) + " ###" * int(rng.integers(0, 12 if i % 3 else 40)) for i in range(600)]
+    stats = Q.measured(docs_frame(spark, texts))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id long, quality int")
+    params = Q.Params(sample=100, trees=10, tree_rows=32, good_loss=0.02)
+    forest = Q.fit(stats, labels, params)
+    rows = stats.orderBy("doc_id").toPandas()
+    x, good = Q.features({k: rows[k].to_numpy(np.int64) for k in Q.STATS}), rows["doc_id"].to_numpy() % 3 > 0
+    middle = np.median(x[good], axis=0)
+    assert np.allclose(forest.centre, middle, rtol=0.01, atol=1e-5)
+    assert np.allclose(forest.spread - params.least_spread, np.quantile(np.abs(x[good] - middle), 0.99, axis=0), rtol=0.03, atol=1e-4)
+    score = forest.score(x)
+    cut = np.sort(score[good])[::-1][int(0.02 * good.sum())]
+    assert forest.cut == (cut + score[~good & (score > cut)].min()) / 2
+
+
+def test_labels_of_one_kind(spark):
+    rng = np.random.default_rng(5)
+    stats = Q.measured(docs_frame(spark, [prose(rng, 60) for _ in range(20)]))
+    for quality in (0, 1):
+        labels = spark.createDataFrame([(i, quality) for i in range(20)], "doc_id long, quality int")
+        assert Q.judge(stats, Q.fit(stats, labels)).where("kept").count() == 20
