@@ -175,17 +175,34 @@ def contexts(ids: np.ndarray, first: np.ndarray, params: Params, at: np.ndarray
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _small(weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether the logits of each softmax need no shift before exp: hidden units lie in -1 to 1, which bounds them."""
+    return (np.abs(weight).sum(axis=-1) + np.abs(bias)).max(axis=-1) < 70
+
+
+def _log_softmax(z: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
+    """The log-probability of each row's target; the logits z are overwritten."""
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), target]
+    np.exp(z, out=z)
+    return own - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
+def _error(z: np.ndarray, target: np.ndarray, n: int, small: bool) -> np.ndarray:
+    """The gradient of a mean over n positions by the logits z, in place: softmax less the target, over n."""
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / (n * (z @ np.ones(z.shape[1], z.dtype))))[:, None]
+    z[np.arange(len(z)), target] -= z.dtype.type(1 / n)
     return z
 
 
 def _hidden(weights: Weights, around: np.ndarray) -> np.ndarray:
-    h = weights["embed"][0][around[0]]
+    h = weights["embed"][0].take(around[0], axis=0)
     for p in range(1, len(around)):
-        h += weights["embed"][p][around[p]]
+        h += weights["embed"][p].take(around[p], axis=0)
     return np.tanh(h, out=h)
 
 
@@ -205,16 +222,13 @@ def log_probs(weights: Weights, around: np.ndarray, target: np.ndarray, params:
     """log P(target | window) of each position."""
     each = params.tokens // params.classes
     out = np.empty(len(target))
+    small, all_small = _small(weights["token_w"], weights["token_b"]), bool(_small(weights["class_w"], weights["class_b"]))
     for at in range(0, len(target), 1 << 14):
         order = at + _by_value(target[at : at + (1 << 14)])
         own, h = target[order], _hidden(weights, around[:, order])
-        z = h @ weights["class_w"].T + weights["class_b"]
-        z -= z.max(axis=1, keepdims=True)
-        score = z[np.arange(len(own)), own // each] - np.log(np.exp(z, out=z).sum(axis=1))
+        score = _log_softmax(h @ weights["class_w"].T + weights["class_b"], own // each, all_small)
         for c, a, b in _edges(own, params):
-            z = h[a:b] @ weights["token_w"][c].T + weights["token_b"][c]
-            z -= z.max(axis=1, keepdims=True)
-            score[a:b] += z[np.arange(b - a), own[a:b] - c * each] - np.log(np.exp(z, out=z).sum(axis=1))
+            score[a:b] += _log_softmax(h[a:b] @ weights["token_w"][c].T + weights["token_b"][c], own[a:b] - c * each, small[c])
         out[order] = score
     return out
 
@@ -239,20 +253,18 @@ class Trainer:
         w, p, n = self.weights, self.params, len(target)
         each = p.tokens // p.classes
         h = _hidden(w, around)
-        d = _softmax(h @ w["class_w"].T + w["class_b"])
-        d[np.arange(n), target // each] -= 1
-        d /= n
+        small = _small(w["token_w"], w["token_b"])
+        d = _error(h @ w["class_w"].T + w["class_b"], target // each, n, bool(_small(w["class_w"], w["class_b"])))
         back = d @ w["class_w"]
         class_w, class_b = d.T @ h, d.sum(axis=0)
         token_w, token_b = np.zeros_like(w["token_w"]), np.zeros_like(w["token_b"])
         for c, a, b in _edges(target, p):
-            d = _softmax(h[a:b] @ w["token_w"][c].T + w["token_b"][c])
-            d[np.arange(b - a), target[a:b] - c * each] -= 1
-            d /= n
+            d = _error(h[a:b] @ w["token_w"][c].T + w["token_b"][c], target[a:b] - c * each, n, small[c])
             back[a:b] += d @ w["token_w"][c]
             token_w[c], token_b[c] = d.T @ h[a:b], d.sum(axis=0)
-        back = np.ascontiguousarray((back * (1 - h * h)).T)
-        for place, ids in enumerate(around):
+        # the types that bincount works with, converted once
+        back = np.ascontiguousarray((back * (1 - h * h)).T, np.float64)
+        for place, ids in enumerate(around.astype(np.intp)):
             grad = np.empty((p.width, p.tokens + 1), h.dtype)
             for unit in range(p.width):
                 grad[unit] = np.bincount(ids, back[unit], p.tokens + 1)
