@@ -18,11 +18,12 @@ A document's score sums, over all its tokens, the log-probability of the token
 given both sides; a bucket's token adds the log of its word's share of the
 bucket's occurrences. The counts of all words stay a table, and the words of the
 texts outside the vocabulary are joined with it; a word that the corpus lacks
-counts as one occurrence.
+counts as one occurrence. Tasks that score hold the counts of the commonest of
+these words in a table of a fixed size, so only the others cross the network.
 
 What tasks hand on grows with the corpus (word counts, ids, one set of weights a
 shard and round, words to be joined); what reaches the driver has a fixed size
-(the vocabulary, bucket sizes, one set of weights a round). The sizes of the
+(the vocabulary, bucket sizes, counts of common words, one set of weights a round). The sizes of the
 vocabulary and the network are parameters.
 
 Defined results: a null or empty text has no tokens, log-probability 0 and a
@@ -77,6 +78,8 @@ Weights = dict[str, np.ndarray]
 CHUNK = 1 << 15
 #: Parts of one in which logs of counts are summed.
 FINE = 1_000_000_000
+#: The most words whose counts tasks hold when they score, and the places of the table for them; all others are joined.
+COMMON, PLACES = 1 << 17, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -422,21 +425,57 @@ def fit(docs: DataFrame, params: Params = Params()) -> tuple[Vocabulary, Weights
     return vocab, train(encoded(docs, vocab, params), vocab, params)
 
 
+def _logs(spark: SparkSession, path: str) -> DataFrame:
+    """(word, log_n) from a written table of word counts; the log of one occurrence is 0, so words counted once need no row."""
+    return spark.read.parquet(path).where("n > 1").select("word", F.round(F.log("n") * FINE).cast("long").alias("log_n"))
+
+
+def _place(hashes: np.ndarray, places: int) -> np.ndarray:
+    return (hashes >> np.uint64(20)) % np.uint64(places)
+
+
+def common_logs(logs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A table by place of the commonest words: their hashes, and logs of their counts (0: none there); of words with one place the commonest is kept."""
+    step = F.floor(F.col("log_n") * 8 / FINE)
+    least, size = None, 0
+    for r in sorted(logs.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        size += r["n"]
+        if size > COMMON:
+            break
+        least = r["step"]
+    words, values = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int64)
+    if least is not None:
+        found = logs.where(step >= least).toArrow()
+        word, log_n = found["word"].to_numpy(), found["log_n"].to_numpy()
+        order = np.lexsort((word, log_n))
+        own = word[order].view(np.uint64)
+        at = _place(own, PLACES)
+        # the last of equal places, which is the commonest
+        at, last = np.unique(at[::-1], return_index=True)
+        words[at], values[at] = own[::-1][last], log_n[order][::-1][last]
+    return words, values
+
+
 def score(docs: DataFrame, model: tuple[Vocabulary, Weights], params: Params = Params()) -> DataFrame:
     """doc_id, n_tokens, log_prob and mean_log_prob of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    logs = _logs(docs.sparkSession, model[0].words)
+    shared = docs.sparkSession.sparkContext.broadcast((*model, *common_logs(logs)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, weights = shared.value
+        vocab, weights, common, common_log = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in K.slices(batch.column("text")):
                 w = K.words(part, lower=True)
                 ids = vocab.encode(w.hashes)
                 own = log_probs(weights, contexts(ids, w.first, params), ids, params)
-                rare = ids >= vocab.own
+                rare = np.flatnonzero(ids >= vocab.own)
                 own[rare] -= vocab.penalty[ids[rare] - vocab.own]
+                place = _place(w.hashes[rare], len(common))
+                known = (common[place] == w.hashes[rare]) & (common_log[place] > 0)
+                own[rare[known]] += common_log[place[known]] / FINE
+                rare = rare[~known]
                 total = np.concatenate([[0.0], np.cumsum(own)])
                 n = np.diff(w.first)
                 # the different rare words of each row, and how often each stands there
@@ -451,10 +490,9 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Weights], params: Params = P
                 row += len(n)
 
     rows = written(_texts(docs).mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, base double, rare array<struct<word:long,k:long>>"), "lm-scores")
-    # the log of one occurrence is 0, so words counted once need no row; sums of integers do not depend on the order
-    counts = docs.sparkSession.read.parquet(model[0].words).where("n > 1").select("word", F.round(F.log("n") * FINE).cast("long").alias("log_n"))
+    # sums of integers do not depend on the order
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k")
-    gains = rare.join(counts.hint("merge"), "word").groupBy("row").agg(F.sum(F.col("log_n") * F.col("k")).alias("gain"))
+    gains = rare.join(logs.hint("merge"), "word").groupBy("row").agg(F.sum(F.col("log_n") * F.col("k")).alias("gain"))
     log_prob = F.round(F.col("base") + F.coalesce("gain", F.lit(0)) / FINE, 6)
     mean = F.when(F.col("n_tokens") > 0, F.round(log_prob / F.col("n_tokens"), 6))
     return rows.join(gains.hint("merge"), "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))

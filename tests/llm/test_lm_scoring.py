@@ -205,3 +205,22 @@ def test_large_logits_stay_finite():
     trainer = L.Trainer(weights, params)
     trainer.step(around, target)
     assert all(np.isfinite(v).all() for v in trainer.weights.values())
+
+
+def test_counts_of_common_words_need_no_join(spark, monkeypatch):
+    params = L.Params(own=4, buckets=4, classes=2, width=4, batch=64)
+    docs = docs_frame(spark, ["a b c d"] * 60 + [f"r{i}" for i in range(24) for _ in range(i + 1)])
+    model = L.fit(docs, params)
+    asked = docs_frame(spark, [*(f"r{i} a r{i}" for i in range(24)), "r23 r23 unseen", None])
+    seen = []
+    written = L.written
+    monkeypatch.setattr(L, "written", lambda df, name: seen.append(written(df, name)) or seen[-1])
+    got = {}
+    for common, places in ((1 << 17, 1 << 19), (12, 1 << 19), (1 << 17, 8), (0, 1 << 19)):
+        monkeypatch.setattr(L, "COMMON", common)
+        monkeypatch.setattr(L, "PLACES", places)
+        got[common, places] = [r.log_prob for r in L.score(asked, model, params).orderBy("doc_id").collect()]
+    assert all(np.allclose(x, got[0, 1 << 19], atol=1e-5) for x in got.values())
+    joined = [sum(len(r.rare) for r in df.select("rare").collect()) for df in seen]
+    # without a table every rare word of a text, with one those counted once or never
+    assert joined[0] == 2 and joined[3] == 26 and joined[0] < min(joined[1:3]) and max(joined[1:3]) < 26, joined
