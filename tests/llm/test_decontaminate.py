@@ -116,6 +116,23 @@ def test_time_in_proportion_to_a_text(spark):
     assert row.n_chars == len(row.text) and "w10 w11" not in row.text and time.time() - began < 4.5 * seconds[100_000] + 20
 
 
+def test_counting_costs_less_than_scanning(spark):
+    rng = np.random.default_rng(7)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+    docs = docs_frame(spark, [" ".join(rng.choice(vocab, 400)) for _ in range(250)]).crossJoin(spark.range(20)).drop("id").repartition(4).cache()
+    item, jvm = bench(spark, [(1, PASSAGE)]), spark.sparkContext._jvm.java.lang.ProcessHandle
+    assert docs.count() == 5000
+
+    def cpu_ms(df):
+        began = jvm.current().info().totalCpuDuration().get().toMillis()
+        df.write.format("noop").mode("overwrite").save()
+        return jvm.current().info().totalCpuDuration().get().toMillis() - began
+
+    scan, whole = (min(cpu_ms(f(docs, item)) for _ in range(3)) for f in (D.hits, D.contamination))
+    docs.unpersist()
+    assert whole < 2 * scan + 500, (whole, scan)
+
+
 def test_columns_of_any_name_pass_through(spark):
     item = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
     names = ("text_key", "doc_id_", "text_key_", "row_key_", "spans_", "items_", "own", "between", "own_", "w", "at", "h", "c", "base", "normal_", "spaced_", "a.b")
